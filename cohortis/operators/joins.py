@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS
-from .skew import key_join, left_join_unique
+from .skew import drop_groups, group_sizes, keep_groups, key_join, left_join_unique
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -59,14 +59,30 @@ def left_join_natural(left: DataFrame, right: DataFrame, null_safe: bool = False
     return left_join(left, right, on, null_safe=null_safe, **how)
 
 
+def fan_out_join(left: DataFrame, right: DataFrame, on: list[str], suffix: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Left join of a table with unique keys to many rows per key, safe against keys heavy on the right.
+
+    The many rows look up their one left row; left rows nobody asked for are added.
+    """
+    left, right = _suffix_clashes(left, right, on, suffix)
+    met = left_join_unique(right, left.withColumn("_met", F.lit(True)), on).filter(F.col("_met")).drop("_met")
+    lone = key_join(left, distinct_keys(right, on), on, "left_anti", null_safe=False)
+    return lone.unionByName(met, allowMissingColumns=True)
+
+
+def _sizes_in(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool) -> DataFrame:
+    """Row counts of the left keys that occur on the right; both sides are reduced to keys first."""
+    return key_join(group_sizes(left, on), distinct_keys(right, on), on, "left_semi", null_safe)
+
+
 def semi_join(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``."""
-    return key_join(left, right.select(*on), on, "left_semi", null_safe)
+    return keep_groups(left, _sizes_in(left, right, on, null_safe), on)
 
 
 def anti_join(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right``."""
-    return key_join(left, right.select(*on), on, "left_anti", null_safe)
+    return drop_groups(left, _sizes_in(left, right, on, null_safe), on)
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, small: bool = False) -> DataFrame:

@@ -74,3 +74,11 @@ def drop_groups(df: DataFrame, groups: DataFrame, keys: list[str], size: str = "
     """Rows whose key is not in ``groups`` (keys with row counts), safe against heavy keys."""
     light = key_join(df, heavy_only(groups, size, parts).select(*keys), keys, "left_anti", small=True)
     return key_join(light, groups.select(*keys), keys, "left_anti")
+
+
+def keep_groups(df: DataFrame, groups: DataFrame, keys: list[str], size: str = "n", parts: int = HEAVY_PARTS) -> DataFrame:
+    """Rows whose key is in ``groups`` (keys with row counts), safe against heavy keys."""
+    heavy = heavy_only(groups, size, parts).select(*keys)
+    spread = key_join(df, heavy, keys, "left_semi", small=True)
+    rest = key_join(df, heavy, keys, "left_anti", small=True)
+    return spread.unionByName(key_join(rest, groups.select(*keys), keys, "left_semi"))

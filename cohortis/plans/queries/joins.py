@@ -48,7 +48,7 @@ def left_join_fanout(t):
     env = _bin_key(environment(t).select("s_nationkey", "bin", "mean_discount"), "s_nationkey").select("key", "mean_discount")
     cust = t.customer.withColumn("bin", bin_by("c_acctbal", (0, 2000, 4000, 6000, 8000, 10000)))
     points = _bin_key(cust, "c_nationkey").select("key", "c_custkey", "c_acctbal")
-    return rounded(joins.left_join(env, points, ["key"]))
+    return rounded(joins.fan_out_join(env, points, ["key"]))
 
 
 @query(
