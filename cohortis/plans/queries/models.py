@@ -1,0 +1,342 @@
+"""Correlation, regression, logistic, mixed and curve models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...functions.season import season_year
+from ...operators import aggregate as agg
+from ...operators.panel import age_from_start
+from ...stats import curve, glm, linear, mixed
+from ...stats.compare import ModelSpec, compare_models
+from ..order_panel import interval_records
+from . import query, rounded
+from .aggregates import RETURNED_SQL, SEASON_SQL, returned, seasons
+from .panel import GRID
+
+# -- SQL pieces: tail probabilities by Simpson's rule, Newton steps by recursion --
+
+
+def _simpson(density: str, upper: str, n: int = 2000) -> str:
+    """Integral of ``density`` (in x) from 0 to ``upper``, inside a query that has the named columns."""
+    return (
+        f"(SELECT sum(CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({density})) * max(u) / {n} / 3 "
+        f"FROM (SELECT i, u, u * i / {n} AS x FROM (SELECT range AS i, ({upper})::DOUBLE AS u FROM range({n + 1}))))"
+    )
+
+
+def _t_p(t: str, df: str) -> str:
+    pdf = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * power(1 + x * x / {df}, -({df} + 1) / 2.0)"
+    return f"round(greatest(0, 1 - 2 * {_simpson(pdf, f'least(abs({t}), 60)')}), 6)"
+
+
+def _normal_p(z: str) -> str:
+    return f"round(greatest(0, 1 - 2 * {_simpson('exp(-x * x / 2) / sqrt(2 * pi())', f'least(abs({z}), 40)')}), 6)"
+
+
+def _f_p(f: str, d1: str, d2: str) -> str:
+    log_beta = f"lgamma({d1} / 2.0) + lgamma({d2} / 2.0) - lgamma(({d1} + {d2}) / 2.0)"
+    pdf = f"CASE WHEN x = 0 AND {d1} > 2 THEN 0 ELSE exp(({d1} / 2.0 - 1) * ln(greatest(x, 1e-300)) + ({d2} / 2.0 - 1) * ln(1 - x) - ({log_beta})) END"
+    return f"round(greatest(0, 1 - {_simpson(pdf, f'{d1} * {f} / ({d1} * {f} + {d2})', 20000)}), 6)"
+
+
+def _newton_logit(cells: str) -> str:
+    """CTEs ``it`` (iterations) and ``fit`` for logit(y) ~ x on ``cells(x, n, k)``: estimates and the information matrix."""
+    return f"""it AS (SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 UNION ALL
+      SELECT i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (SELECT i, any_value(b0) AS b0, any_value(b1) AS b1, sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * x) AS h01,
+              sum(n * m * (1 - m) * x * x) AS h11, sum(k - n * m) AS g0, sum((k - n * m) * x) AS g1
+            FROM (SELECT i, b0, b1, x, n, k, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM it, {cells} WHERE i < 25) GROUP BY i)),
+    best AS (SELECT b0, b1 FROM it ORDER BY i DESC LIMIT 1),
+    obs AS (SELECT b0, b1, x, n, k, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM best, {cells}),
+    fit AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * x) AS h01,
+      sum(n * m * (1 - m) * x * x) AS h11, sum(n) AS n FROM obs),
+    tidy AS (SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(h11 / (h00 * h11 - h01 * h01)) AS se, n FROM fit UNION ALL
+      SELECT 'x', b1, sqrt(h00 / (h00 * h11 - h01 * h01)), n FROM fit)"""
+
+
+_RETURNED_R = RETURNED_SQL.replace("WITH", "WITH RECURSIVE", 1)
+_GRID_R = GRID.replace("WITH", "WITH RECURSIVE", 1)
+_AGED_SQL = """, aged AS (SELECT *, (start_int - coalesce(birth, min(start_int) OVER (PARTITION BY id)) + 1)::DOUBLE AS age FROM iv)
+"""
+
+
+def aged_intervals(t):
+    """Interval records with leaf number, damage, branch share and age."""
+    age = age_from_start(F.col("BirthYear"), F.col("start_int"), F.col("first_start")).cast("double")
+    return interval_records(t.orders).withColumn("yearsAlive", age)
+
+
+# -- correlation and regression ----------------------------------------------
+
+_PAIRS = (("y", "discount"), ("quantity", "tax"), ("known", "quantity"), ("class", "open"))
+
+
+@query(
+    RETURNED_SQL + ", v AS (SELECT *, NULLIF(discount, 0) AS known FROM r), c AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS x, '{y}' AS y, regr_count({y}, {x})::BIGINT AS n, corr({x}, {y}) AS r FROM v" for x, y in _PAIRS
+    )
+    + f"""), d AS (SELECT *, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS t, 1.959963984540054::DOUBLE / sqrt(n - 3) AS h FROM c)
+    SELECT x, y, n, round(r, 6) AS r, round(t, 6) AS t, df, {_t_p('t', 'df')} AS p_value,
+    round(tanh(atanh(r) - h), 6) AS conf_low, round(tanh(atanh(r) + h), 6) AS conf_high FROM d"""
+)
+def corr_tests(t):
+    rows = returned(t).withColumn("known", F.nullif(F.col("discount"), F.lit(0.0)))
+    return rounded(linear.corr_tests(rows, list(_PAIRS)))
+
+
+@query(
+    """SELECT round(corr(o_totalprice, substr(o_orderpriority, 1, 1)::DOUBLE), 6) AS r,
+    round(corr(CASE WHEN o_totalprice > 2000 THEN o_totalprice END, substr(o_orderpriority, 1, 1)::DOUBLE), 6) AS r_known,
+    CAST(NULL AS DOUBLE) AS r_poisoned FROM orders"""
+)
+def correlation(t):
+    o = t.orders.select(
+        F.col("o_totalprice").alias("x"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("y"),
+        F.when(F.col("o_totalprice") > 2000, F.col("o_totalprice")).alias("known"),
+    )
+    full = linear.corr(o, "x", "y", use="everything")
+    pair = linear.corr(o, "known", "y", name="r_known")
+    poisoned = linear.corr(o, "known", "y", use="everything", name="r_poisoned")
+    return rounded(full.select("r", pair.scalar().alias("r_known"), poisoned.scalar().alias("r_poisoned")))
+
+
+_LM = """, pts AS (SELECT 'meanprice' AS response, "WINTER"::DOUBLE AS x, meanprice AS y FROM s UNION ALL
+  SELECT 'highdays', "WINTER", highdays FROM s),
+q AS (SELECT response, regr_count(y, x)::DOUBLE AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx,
+  regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_avgx(y, x) AS mx FROM pts GROUP BY 1),
+q2 AS (SELECT *, (syy - b * sxy) AS rss, n - 2 AS df FROM q), q3 AS (SELECT *, sqrt(rss / df) AS sigma FROM q2),
+td AS (SELECT response, '(Intercept)' AS term, a AS estimate, sigma * sqrt(1 / n + mx * mx / sxx) AS se, df FROM q3 UNION ALL
+  SELECT response, 'WINTER', b, sigma / sqrt(sxx), df FROM q3)
+"""
+_LM_PAIRS = [("meanprice", "WINTER"), ("highdays", "WINTER")]
+
+
+@query(
+    SEASON_SQL + _LM + f"""SELECT response, term, round(estimate, 4) AS estimate, round(se, 4) AS std_error, round(estimate / se, 6) AS statistic,
+    {_t_p('(estimate / se)', 'df')} AS p_value FROM td"""
+)
+def lm_simple(t):
+    first, second = linear.lms(seasons(t), _LM_PAIRS)
+    out = rounded(first.tidy().unionByName(second.tidy()))
+    # Intercepts extrapolate to year 0, which leaves fewer reliable digits.
+    return out.withColumns({c: F.round(c, 4) for c in ("estimate", "std_error")})
+
+
+@query(
+    SEASON_SQL + _LM + f"""SELECT response, 'WINTER' AS term, round(1 - rss / syy, 6) AS r_squared, round(1 - (rss / syy) * (n - 1) / df, 6) AS adj_r_squared,
+    round(sigma, 6) AS sigma, round(b * sxy / (rss / df), 6) AS statistic,
+    {_t_p('(b / (sigma / sqrt(sxx)))', 'df')} AS p_value, df::BIGINT AS df_residual, n::BIGINT AS n FROM q3"""
+)
+def lm_glance(t):
+    first, second = linear.lms(seasons(t), _LM_PAIRS)
+    return rounded(first.glance().unionByName(second.glance()))
+
+
+@query(
+    """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+    SELECT l_orderkey, l_quantity, round(a + b * l_quantity, 6) AS fitted FROM lineitem, f"""
+)
+def lm_fitted(t):
+    fit = linear.lm(t.lineitem, "l_extendedprice", "l_quantity")
+    return rounded(linear.lm_fitted(t.lineitem.select("l_orderkey", "l_quantity"), fit))
+
+
+# -- classes -------------------------------------------------------------------
+
+_CLASSES = """, c AS (SELECT class, count(*)::DOUBLE AS n, avg(y) AS m, var_samp(y) AS v FROM r GROUP BY 1),
+a AS (SELECT (SELECT avg(y) FROM r) AS g, count(*) - 1 AS df1, sum(n) - count(*) AS df2, sum((n - 1) * v) AS ssw FROM c),
+b AS (SELECT df1, df2, ssw, (SELECT sum(n * power(m - g, 2)) FROM c) AS ssb FROM a)
+"""
+
+
+@query(
+    RETURNED_SQL + _CLASSES + f"""SELECT 'class' AS term, df1::BIGINT AS df, round(ssb, 6) AS sumsq, round(ssb / df1, 6) AS meansq,
+    round((ssb / df1) / (ssw / df2), 6) AS statistic, {_f_p('((ssb / df1) / (ssw / df2))', 'df1', 'df2')} AS p_value FROM b UNION ALL
+    SELECT 'Residuals', df2::BIGINT, round(ssw, 6), round(ssw / df2, 6), NULL, NULL FROM b"""
+)
+def anova_oneway(t):
+    return rounded(linear.anova_oneway(returned(t), "y", "class"))
+
+
+@query(
+    RETURNED_SQL + _CLASSES + """SELECT y.class || '-' || x.class AS comparison, round(y.m - x.m, 6) AS diff,
+    round(abs(y.m - x.m) / sqrt(ssw / df2 / 2 * (1 / x.n + 1 / y.n)), 6) AS statistic
+    FROM c x JOIN c y ON x.class < y.class CROSS JOIN b"""
+)
+def tukey_differences(t):
+    return rounded(linear.tukey_hsd(returned(t), "y", "class").select("comparison", "diff", "statistic"))
+
+
+@query()
+def tukey_hsd(t):
+    """With simultaneous limits and adjusted p-values, which need the studentised range."""
+    return rounded(linear.tukey_hsd(returned(t), "y", "class"))
+
+
+# -- logistic models -------------------------------------------------------------
+
+_BY_CLASS = """, c AS (SELECT class, sum(y) AS k, count(*)::DOUBLE AS n FROM r GROUP BY 1),
+  z AS (SELECT c.class, c0.class = c.class AS base, ln(c.k / (c.n - c.k)) AS l, 1 / c.k + 1 / (c.n - c.k) AS v,
+    ln(c0.k / (c0.n - c0.k)) AS l0, 1 / c0.k + 1 / (c0.n - c0.k) AS v0
+    FROM c, (SELECT * FROM c ORDER BY class LIMIT 1) c0),
+  e AS (SELECT CASE WHEN base THEN '(Intercept)' ELSE 'class[' || class || ']' END AS term, CASE WHEN base THEN l ELSE l - l0 END AS estimate,
+    sqrt(CASE WHEN base THEN v ELSE v + v0 END) AS se FROM z)
+"""
+
+
+@query(
+    RETURNED_SQL + _BY_CLASS + f"""SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS std_error, round(estimate / se, 6) AS statistic,
+    {_normal_p('(estimate / se)')} AS p_value FROM e"""
+)
+def glm_factor(t):
+    return rounded(glm.glm_logit(returned(t), "y", ["class"], ["class"]).tidy())
+
+
+@query(RETURNED_SQL + _BY_CLASS + "SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS std_error FROM e")
+def glm_by_class(t):
+    return rounded(glm.glm_by_class(returned(t), "y", "class"))
+
+
+@query(
+    RETURNED_SQL + """, m AS (SELECT avg(y) AS p, count(*)::DOUBLE AS n FROM r)
+    SELECT '(Intercept)' AS term, round(ln(p / (1 - p)), 6) AS estimate, round(sqrt(1 / (n * p * (1 - p))), 6) AS std_error,
+    round(ln(p / (1 - p)) / sqrt(1 / (n * p * (1 - p))), 5) AS statistic, 0.0::DOUBLE AS p_value FROM m"""
+)
+def glm_intercept(t):
+    return rounded(glm.glm_logit(returned(t), "y", []).tidy()).withColumn("statistic", F.round("statistic", 5))
+
+
+_AGE_CELLS = _AGED_SQL + ", cells AS (SELECT age AS x, count(*)::DOUBLE AS n, sum(survival) AS k FROM aged GROUP BY 1), "
+
+
+@query(
+    _GRID_R + _AGE_CELLS + _newton_logit("cells") + f"""SELECT CASE term WHEN 'x' THEN 'yearsAlive' ELSE term END AS term, round(estimate, 6) AS estimate,
+    round(se, 6) AS std_error, round(estimate / se, 5) AS statistic, {_normal_p('(estimate / se)')} AS p_value FROM tidy"""
+)
+def glm_logit(t):
+    tidy = rounded(glm.glm_logit(aged_intervals(t), "survival", ["yearsAlive"]).tidy())
+    return tidy.withColumn("statistic", F.round("statistic", 5))
+
+
+_DEVIANCE = """, dev AS (SELECT sum(-2 * (k * ln(m) + (n - k) * ln(1 - m))) AS d, sum((k * (1 - m) + (n - k) * m) / 1) AS unused,
+  sum(k * power(1 - m, 2) / (m * (1 - m)) + (n - k) * m * m / (m * (1 - m))) AS pearson,
+  sum(k / (m * m) + (n - k) / power(1 - m, 2)) AS working, sum(n) AS n, sum(k) AS k FROM obs)
+"""
+
+
+@query(
+    _GRID_R + _AGE_CELLS + _newton_logit("cells") + _DEVIANCE + """SELECT 'binomial' AS family,
+    round(-2 * (k * ln(k / n) + (n - k) * ln(1 - k / n)), 6) AS null_deviance, (n - 1)::BIGINT AS df_null, round(d, 6) AS deviance,
+    (n - 2)::BIGINT AS df_residual, 1.0::DOUBLE AS dispersion, round(d + 4, 6) AS aic, round(-d / 2, 6) AS loglik, n::BIGINT AS n, true AS converged FROM dev"""
+)
+def glm_glance(t):
+    return rounded(glm.glm_logit(aged_intervals(t), "survival", ["yearsAlive"]).glance())
+
+
+@query(
+    _GRID_R + _AGE_CELLS + _newton_logit("cells") + _DEVIANCE + """SELECT 'deviance' AS kind, round(sqrt(d / n), 6) AS rmse FROM dev UNION ALL
+    SELECT 'working', round(sqrt(working / n), 6) FROM dev UNION ALL SELECT 'pearson', round(sqrt(pearson / n), 6) FROM dev"""
+)
+def glm_rmse(t):
+    fit = glm.glm_logit(aged_intervals(t), "survival", ["yearsAlive"])
+    kinds = [(k, fit.rmse(k)) for k in ("deviance", "working", "pearson")]
+    return rounded(fit._spark.createDataFrame(kinds, "kind string, rmse double"))
+
+
+_PLOT_SQL = """, cells AS (SELECT avg(quantity) AS x, 1.0::DOUBLE AS n, avg(y) AS k FROM (SELECT *, l_suppkey FROM
+  (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, l_quantity AS quantity, l_suppkey FROM lineitem)) GROUP BY l_suppkey),
+"""
+
+
+@query(
+    _RETURNED_R + _PLOT_SQL + _newton_logit("cells") + f""", phi AS (SELECT sum(power(k - m, 2) / (m * (1 - m))) / (sum(n) - 2) AS phi FROM obs),
+    t2 AS (SELECT term, estimate, se * sqrt(phi) AS se, n - 2 AS df FROM tidy, phi)
+    SELECT CASE term WHEN 'x' THEN 'mean_quantity' ELSE term END AS term, round(estimate, 6) AS estimate, round(se, 6) AS std_error,
+    round(estimate / se, 5) AS statistic, {_t_p('(estimate / se)', 'df')} AS p_value FROM t2"""
+)
+def glm_quasi(t):
+    li = t.lineitem.select("l_suppkey", "l_quantity", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
+    plots = agg.mean_by(li, ["l_suppkey"], {"rate": "y", "mean_quantity": "l_quantity"})
+    tidy = rounded(glm.glm_quasi(plots, "rate", ["mean_quantity"]).tidy())
+    return tidy.withColumn("statistic", F.round("statistic", 5))
+
+
+@query()
+def step_aic(t):
+    _, trace = glm.step_aic(returned(t), "y", ["discount", "tax", "class"], ["class"])
+    return rounded(trace)
+
+
+# -- curve -------------------------------------------------------------------------
+
+_GN = """it AS (SELECT 0 AS i, 8.0::DOUBLE AS a, 0.2::DOUBLE AS b UNION ALL
+  SELECT i + 1, a + (bb * ar - ab * br) / (aa * bb - ab * ab), b + (aa * br - ab * ar) / (aa * bb - ab * ab)
+  FROM (SELECT i, any_value(a) AS a, any_value(b) AS b, sum(n * ja * ja) AS aa, sum(n * ja * jb) AS ab, sum(n * jb * jb) AS bb,
+      sum(ja * (k - n * f)) AS ar, sum(jb * (k - n * f)) AS br
+    FROM (SELECT *, b * f * (1 - f) AS ja, -(x - a) * f * (1 - f) AS jb FROM (SELECT i, a, b, x, n, k, 1 / (1 + exp(b * (x - a))) AS f FROM it, cells WHERE i < 60))
+    GROUP BY i)),
+best AS (SELECT a, b FROM it ORDER BY i DESC LIMIT 1)
+"""
+
+
+@query(
+    _GRID_R + _AGE_CELLS + _GN + "SELECT 'a' AS term, round(a, 5) AS estimate FROM best UNION ALL SELECT 'b', round(b, 5) FROM best"
+)
+def logistic_curve(t):
+    fit = curve.fit_logistic_curve(aged_intervals(t), "yearsAlive", "survival", start=(8.0, 0.2))
+    return fit.tidy().select("term", F.round("estimate", 5).alias("estimate"))
+
+
+@query(
+    _GRID_R + _AGE_CELLS + _GN + "SELECT round(corr(survival, 1 / (1 + exp(b * (age - a)))), 6) AS r FROM aged, best"
+)
+def curve_goodness(t):
+    rows = aged_intervals(t)
+    return rounded(curve.fit_logistic_curve(rows, "yearsAlive", "survival", start=(8.0, 0.2)).goodness(rows))
+
+
+# -- mixed models --------------------------------------------------------------------
+
+
+def _mixed(t):
+    return mixed.glmm_logit(aged_intervals(t), "survival", ["yearsAlive"], "interval")
+
+
+@query()
+def glmm_fit(t):
+    return rounded(_mixed(t).tidy())
+
+
+@query()
+def glmm_glance(t):
+    return rounded(_mixed(t).glance())
+
+
+@query()
+def glmm_ranef(t):
+    return rounded(_mixed(t).ranef())
+
+
+@query()
+def glmm_coef(t):
+    return rounded(_mixed(t).coef())
+
+
+@query()
+def ranef_climate(t):
+    rows = t.orders.withColumn("WINTER", season_year("o_orderdate"))
+    return rounded(mixed.ranef_vs_climate(_mixed(t), seasons(t, rows), ["medprice", "highdays"]))
+
+
+@query()
+def model_grid(t):
+    specs = [
+        ModelSpec("null", [], "glmm", "interval"),
+        ModelSpec("age", ["yearsAlive"], "glmm", "interval"),
+        ModelSpec("age_fixed", ["yearsAlive"]),
+        ModelSpec("interval_fixed", ["interval"], "quasi", None, ["interval"]),
+    ]
+    return rounded(compare_models(aged_intervals(t), "survival", specs))

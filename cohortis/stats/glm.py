@@ -60,6 +60,30 @@ class Design:
     def apply(self, cells: DataFrame, keep: list[str]) -> DataFrame:
         return cells.select(*keep, *[e.alias(f"x{j}") for j, e in enumerate(self.exprs)])
 
+    def without_aliases(self, cells: DataFrame, tol: float = 1e-10) -> tuple[Design, list[str]]:
+        """Drop columns that are linear combinations of earlier ones; returns the rest and the dropped names."""
+        p = len(self.exprs)
+        if not p:
+            return self, []
+        rows = self.apply(cells, ["w"])
+        xs = [F.col(f"x{j}") for j in range(p)]
+        w = F.col("w")
+        centre = rows.agg(*[(F.sum(w * x) / F.sum("w")).alias(f"m{j}") for j, x in enumerate(xs)]).first()
+        dev = [x - F.lit(centre[f"m{j}"] or 0.0) for j, x in enumerate(xs)]
+        cross = rows.agg(*[F.sum(w * dev[i] * dev[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+        kept: list[int] = []
+        for j in range(p):
+            own = cross[f"c{j}_{j}"] or 0.0
+            left = own
+            if kept:
+                among = np.array([[cross[f"c{min(a, b)}_{max(a, b)}"] for b in kept] for a in kept])
+                towards = np.array([cross[f"c{a}_{j}"] for a in kept])
+                left = own - float(towards @ np.linalg.solve(among, towards))
+            if own > 0 and left > tol * own:
+                kept.append(j)
+        design = Design([self.names[j] for j in kept], [self.exprs[j] for j in kept])
+        return design, [self.names[j] for j in range(p) if j not in kept]
+
 
 def _xlogx(c: Column) -> Column:
     return F.when(c > 0, c * F.log(c)).otherwise(F.lit(0.0))
@@ -82,9 +106,13 @@ def linear_predictor(coefs: list[float], exprs: list[Column]) -> Column:
 
 
 class GlmFit:
-    """A fitted logistic model; tables are DataFrames, figures plain floats."""
+    """A fitted logistic model; tables are DataFrames, figures plain floats.
+
+    Columns that repeat earlier ones are listed with missing estimates.
+    """
 
-    def __init__(self, spark, family: str, y: str, design: Design, coefs: np.ndarray, sums, converged: bool):
+    def __init__(self, spark, family: str, y: str, design: Design, coefs: np.ndarray, sums, converged: bool, aliased: list[str]):
+        self.aliased = aliased
         self._spark, self.family, self.y, self.design, self.converged = spark, family, y, design, converged
         self.terms = ["(Intercept)", *design.names]
         self.coefs = coefs
@@ -113,6 +141,7 @@ class GlmFit:
             if stat is not None:
                 p = dist.t_p(stat, self.df_residual) if self.family == "quasibinomial" else dist.normal_p(stat)
             rows.append((term, est, se, stat, p))
+        rows += [(term, None, None, None, None) for term in self.aliased]
         return self._spark.createDataFrame(rows, TIDY)
 
     def glance(self) -> DataFrame:
@@ -167,7 +196,7 @@ def fit_cells(
     cells: DataFrame, y: str, terms: list[str], factors: list[str] = (), family: str = "binomial", max_iter: int = 50
 ) -> GlmFit:
     """Fit on a cell table (``y``, terms, ``w``); persist it when fitting several models."""
-    design = Design.of(cells, terms, factors)
+    design, aliased = Design.of(cells, terms, factors).without_aliases(cells)
     x = design.apply(cells, ["y", "w"])
     if design.names:
         inputs = [f"x{j}" for j in range(len(design.names))]
@@ -185,7 +214,7 @@ def fit_cells(
         rate = s["k"] / s["n"]
         converged = 0 < rate < 1
         coefs = np.array([math.log(rate / (1 - rate)) if converged else math.copysign(math.inf, rate - 0.5)])
-    return GlmFit(cells.sparkSession, family, y, design, coefs, _summaries(x, coefs.tolist()), converged)
+    return GlmFit(cells.sparkSession, family, y, design, coefs, _summaries(x, coefs.tolist()), converged, aliased)
 
 
 def glm_logit(df: DataFrame, y: str, terms: list[str], factors: list[str] = (), family: str = "binomial") -> GlmFit:

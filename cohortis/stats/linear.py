@@ -173,7 +173,8 @@ def tukey_hsd(df: DataFrame, y: str, group: str, level: float = 0.95) -> DataFra
             diff = b["mean"] - a["mean"]
             scale = math.sqrt(mse / 2 * (1 / a["n"] + 1 / b["n"]))
             q = abs(diff) / scale
-            out.append((f"{b['class']}-{a['class']}", diff, diff - crit * scale, diff + crit * scale, 1 - dist.tukey_cdf(q, k, df2)))
+            p = 1 - dist.tukey_cdf(q, k, df2)
+            out.append((f"{b['class']}-{a['class']}", diff, q, diff - crit * scale, diff + crit * scale, p))
     return df.sparkSession.createDataFrame(
-        out, "comparison string, diff double, conf_low double, conf_high double, p_adj double"
+        out, "comparison string, diff double, statistic double, conf_low double, conf_high double, p_adj double"
     )

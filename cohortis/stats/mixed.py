@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_ROWS, cut
 from ..operators.skew import key_join
 from . import dist
-from .glm import Design, complete, inv_logit, log1p_exp, to_cells
+from .glm import Design, complete, to_cells
 from .linear import corr_tests, lms
 
 SALTS = 32
@@ -71,48 +71,37 @@ class _Laplace:
             cells = cells.withColumn("_salt", F.pmod(F.xxhash64("y", *xs), F.lit(SALTS)))
             state = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
         met = key_join(cells, state, keys, small=small)
-        eta = F.col("t0") + F.col(f"t{self.p}") * F.col("b")
-        for j in range(1, self.p):
-            eta = eta + F.col(f"t{j}") * F.col(f"x{j - 1}")
-        met = met.withColumn("eta", eta).withColumn("mu", inv_logit(F.col("eta")))
-        return met.withColumns({"r": F.col("y") - F.col("mu"), "v": F.col("mu") * inv_logit(-F.col("eta"))})
+        shift = "".join(f" + t{j} * x{j - 1}" for j in range(1, self.p))
+        met = met.selectExpr("*", f"t0 + t{self.p} * b{shift} AS eta")
+        met = met.selectExpr("*", "1 / (1 + exp(-eta)) AS mu", "1 / (1 + exp(eta)) AS nu")
+        # Sums are taken of wr, wv, wv1: weighted residual, variance, derivative of the variance.
+        return met.selectExpr("*", "w * (y - mu) AS wr", "w * mu * nu AS wv", "w * mu * nu * (nu - mu) AS wv1")
 
     def _per_group(self, state: DataFrame):
-        params = [f"t{j}" for j in range(self.p + 1)]
-        return self.rows(state).groupBy(self.group, "cand", "b", *params), params
+        return self.rows(state).groupBy(self.group, "cand", "b", *[f"t{j}" for j in range(self.p + 1)])
 
     def newton(self, state: DataFrame) -> DataFrame:
         """One Newton step towards the mode of every group and candidate."""
-        grouped, params = self._per_group(state)
-        w = F.col("w")
-        sums = grouped.agg(F.sum(w * F.col("r")).alias("R"), F.sum(w * F.col("v")).alias("W"))
-        b, s = F.col("b"), F.col(f"t{self.p}")
-        step = (s * F.col("R") - b) / (1 + s * s * F.col("W"))
-        return sums.select(self.group, "cand", (b + step).alias("b"), *params)
+        s = f"t{self.p}"
+        sums = self._per_group(state).agg(F.sum("wr").alias("R"), F.sum("wv").alias("W"))
+        step = f"b + ({s} * R - b) / (1 + {s} * {s} * W) AS b"
+        return sums.selectExpr(f"`{self.group}`", "cand", step, *[f"t{j}" for j in range(self.p + 1)])
 
     def sums(self, state: DataFrame) -> DataFrame:
         """Per group and candidate: likelihood and its derivatives, given the modes."""
-        w, r, v = F.col("w"), F.col("r"), F.col("v")
-        v1 = v * (1 - 2 * F.col("mu"))
-        p = self.p
-        xs = [F.lit(1.0), *[F.col(f"x{j}") for j in range(p - 1)]]
-        ll = F.col("y") * F.col("eta") - log1p_exp(F.col("eta"))
-        aggs = [F.sum(w * ll).alias("ll")]
-        for j, x in enumerate(xs):
-            aggs += [F.sum(w * r * x).alias(f"A{j}"), F.sum(w * v * x).alias(f"B{j}"), F.sum(w * v1 * x).alias(f"C{j}")]
-        g = self._per_group(state)[0].agg(*aggs)
-        b, s, W, R, V = (F.col(c) for c in ("b", f"t{p}", "B0", "A0", "C0"))
-        D = 1 + s * s * W
-        out = [(F.col("ll") - b * b / 2 - F.log(D) / 2).alias("obj"), F.abs(s * R - b).alias("off")]
+        p, s = self.p, f"t{self.p}"
+        aggs = [F.expr("sum(w * (y * eta - greatest(eta, 0D) - log1p(exp(-abs(eta))))) AS ll")]
         for j in range(p):
-            # Implicit derivative of the mode, then of log D / 2.
-            db = -s * F.col(f"B{j}") / D
-            dW = F.col(f"C{j}") + s * db * V
-            out += [(F.col(f"A{j}") - s * s * dW / (2 * D)).alias(f"g{j}"), db.alias(f"d{j}")]
-        db = (R - s * b * W) / D
-        dW = V * (b + s * db)
-        out += [(b * R - (2 * s * W + s * s * dW) / (2 * D)).alias(f"g{p}"), db.alias(f"d{p}")]
-        return g.select(self.group, "cand", "b", W.alias("W"), *out)
+            x = f" * x{j - 1}" if j else ""
+            aggs += [F.expr(f"sum(wr{x}) AS A{j}"), F.expr(f"sum(wv{x}) AS B{j}"), F.expr(f"sum(wv1{x}) AS C{j}")]
+        g = self._per_group(state).agg(*aggs).selectExpr("*", f"1 + {s} * {s} * B0 AS D")
+        # Implicit derivatives of the mode, then of log D / 2.
+        slopes = [f"-{s} * B{j} / D AS d{j}" for j in range(p)] + [f"(A0 - {s} * b * B0) / D AS d{p}"]
+        g = g.selectExpr("*", *slopes)
+        out = [f"`{self.group}`", "cand", "b", "B0 AS W", "ll - b * b / 2 - ln(D) / 2 AS obj", f"abs({s} * A0 - b) AS off"]
+        out += [f"A{j} - {s} * {s} * (C{j} + {s} * d{j} * C0) / (2 * D) AS g{j}" for j in range(p)]
+        out += [f"b * A0 - (2 * {s} * B0 + {s} * {s} * C0 * (b + {s} * d{p})) / (2 * D) AS g{p}"]
+        return g.selectExpr(*out, *[f"d{j}" for j in range(p + 1)])
 
     def evaluate(self, thetas: np.ndarray, steps: int, solved: DataFrame | None = None, at: np.ndarray | None = None):
         """Objective and gradient per candidate, and the modes of the first one, solved to rounding error."""
@@ -132,18 +121,23 @@ class _Laplace:
             modes, steps = self.ready(thetas, first, thetas[0]), 2
 
 
-def _start(cells: DataFrame, group: str, p: int) -> np.ndarray:
-    """Mean and spread of the groups' smoothed logits, the spread less its sampling part."""
+def _start(lap: _Laplace) -> tuple[np.ndarray, DataFrame]:
+    """Mean and spread of the groups' smoothed logits, the spread less its sampling part, and modes to match."""
     w = F.col("w")
     k, n = F.col("k") + 0.5, F.col("n") + 1.0
-    logits = cells.groupBy(group).agg(F.sum(w * F.col("y")).alias("k"), F.sum("w").alias("n"))
-    logits = logits.select(F.log(k / (n - k)).alias("l"), (1 / k + 1 / (n - k)).alias("v"))
+    logits = lap.cells.groupBy(lap.group).agg(F.sum(w * F.col("y")).alias("k"), F.sum("w").alias("n"))
+    logits = cut(logits.select(lap.group, F.log(k / (n - k)).alias("l"), (1 / k + 1 / (n - k)).alias("v")))
     r = logits.agg(F.avg("l").alias("m"), F.var_samp("l").alias("s"), F.avg("v").alias("v")).first()
     spread = max((r["s"] or 0.25) - r["v"], 0.01)
-    return np.array([r["m"], *[0.0] * (p - 1), math.log(spread) / 2])
+    sigma = math.sqrt(spread)
+    b = (F.col("l") - F.lit(r["m"])) * F.lit(sigma) / (F.lit(spread) + F.col("v"))
+    modes = logits.select(lap.group, b.alias("b"), *[F.lit(0.0).alias(f"d{j}") for j in range(lap.p + 1)])
+    return np.array([r["m"], *[0.0] * (lap.p - 1), math.log(sigma)]), modes
 
 
-def _maximise(lap: _Laplace, point: np.ndarray, max_iter: int, tol: float, fixed_zero: bool = False):
+def _maximise(
+    lap: _Laplace, point: np.ndarray, solved: DataFrame | None, max_iter: int, tol: float, fixed_zero: bool = False
+):
     """Newton over (beta, log sigma) with a Hessian from differenced gradients, all in one batch per iteration.
 
     ``fixed_zero`` keeps sigma at 0 and moves beta only.
@@ -154,11 +148,11 @@ def _maximise(lap: _Laplace, point: np.ndarray, max_iter: int, tol: float, fixed
         sigma = np.zeros(len(points)) if fixed_zero else np.exp(points[:, -1])
         return np.column_stack([points[:, : lap.p], sigma])
 
-    theta = old = hess = solved = step = None
-    size, steps, converged = 1.0, 4, False
+    theta = old = hess = step = None
+    size, steps, converged = 1.0, 3, False
     for _ in range(max_iter):
         batch = natural(np.vstack([point, *[point + h * e for e in np.eye(d)], *[point - h * e for e in np.eye(d)]]))
-        at = None if theta is None else natural(theta[None, :])[0]
+        at = natural((point if theta is None else theta)[None, :])[0]
         obj, grad, found = lap.evaluate(batch, steps, solved, at)
         if not fixed_zero:
             grad[:, -1] *= batch[:, -1]
@@ -261,12 +255,12 @@ def glmm_logit(
     ).persist()
     lap = _Laplace(cells, group, p - 1)
     try:
-        start = _start(cells, group, p)
-        theta, loglik, hess, modes, converged = _maximise(lap, start, max_iter, tol)
+        start, modes = _start(lap)
+        theta, loglik, hess, modes, converged = _maximise(lap, start, modes, max_iter, tol)
         singular = False
         if theta[-1] < 0.05:
             # Near the edge: see whether no spread at all fits as well.
-            flat = _maximise(lap, theta[:-1], max_iter, tol, fixed_zero=True)
+            flat = _maximise(lap, theta[:-1], None, max_iter, tol, fixed_zero=True)
             if flat[1] >= loglik - 1e-9:
                 theta, loglik, hess, modes, converged = flat
                 singular = True
@@ -283,12 +277,11 @@ def glmm_logit(
             design, converged, singular,
         )
         rows = lap.rows(lap.ready(theta[None, :], modes, theta))
-        r, v, eta = F.col("r"), F.col("v"), F.col("eta")
-        fit._rss = rows.agg(
-            F.sum(2 * w * (log1p_exp(eta) - F.col("y") * eta)).alias("deviance"),
-            F.sum(w * r * r).alias("response"),
-            F.sum(F.try_divide(w * r * r, v)).alias("pearson"),
-            F.sum(F.try_divide(w * r * r, v * v)).alias("working"),
+        fit._rss = rows.selectExpr(
+            "sum(2 * w * (greatest(eta, 0D) + log1p(exp(-abs(eta))) - y * eta)) AS deviance",
+            "sum(wr * (y - mu)) AS response",
+            "sum(try_divide(wr * (y - mu), mu * nu)) AS pearson",
+            "sum(try_divide(wr * (y - mu), mu * nu * mu * nu)) AS working",
         ).first().asDict()
         return fit
     finally:
