@@ -69,7 +69,7 @@ class _Laplace:
             keys = [self.group, "_salt"]
             xs = [F.col(f"x{j}") for j in range(self.p - 1)]
             cells = cells.withColumn("_salt", F.pmod(F.xxhash64("y", *xs), F.lit(SALTS)))
-            state = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+            state = state.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         met = key_join(cells, state, keys, small=small)
         shift = "".join(f" + t{j} * x{j - 1}" for j in range(1, self.p))
         met = met.selectExpr("*", f"t0 + t{self.p} * b{shift} AS eta")
