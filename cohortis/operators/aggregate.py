@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import as_col
 from ..session import cut
-from .quantiles import GROUP_ROWS, fits_broadcast, has_large_group, number, quantiles
+from .quantiles import GROUP_ROWS, fits_broadcast, has_large_group, number, percentiles, quantiles
 from .skew import key_join, left_join_unique
 
 
@@ -207,19 +207,17 @@ def profile(df: DataFrame, cols: list[str], group_rows: int = GROUP_ROWS) -> Dat
     """Per column: values, missing, min, quartiles, mean, max, sd."""
     pair = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
     long = df.select(F.inline(F.array(*pair)))
-    quartiles = [F.percentile(number("value"), F.lit(p)).alias(n) for n, p in QUARTILES.items()]
-    large = df.limit(group_rows + 1).count() > group_rows
-    basic = long.groupBy("column").agg(
+    figures = [
         F.count("value").alias("n"),
         F.count_if(F.col("value").isNull()).alias("n_missing"),
         F.min("value").alias("min"),
         F.avg("value").alias("mean"),
         F.max("value").alias("max"),
         F.stddev_samp("value").alias("sd"),
-        *([] if large else quartiles),
-    )
-    if not large:
-        return basic
+    ]
+    if df.limit(group_rows + 1).count() <= group_rows:
+        return percentiles(long, ["column"], number("value"), QUARTILES, *figures)
+    basic = long.groupBy("column").agg(*figures)
     return key_join(basic, quantiles(long, ["column"], "value", QUARTILES, group_rows), ["column"])
 
 

@@ -36,6 +36,13 @@ def has_large_group(df: DataFrame, by: list[str], group_rows: int = GROUP_ROWS)
     return not df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows).isEmpty()
 
 
+def percentiles(df: DataFrame, by: list[str], v: str | Column, probs: dict[str, float], *aggs: Column) -> DataFrame:
+    """Built-in exact percentiles; all probabilities share one value table per group."""
+    several = F.percentile(v, F.array(*[F.lit(p) for p in probs.values()])).alias("_p")
+    out = df.groupBy(*by).agg(several, *aggs)
+    return out.select("*", *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)]).drop("_p")
+
+
 def quantiles(
     df: DataFrame, by: list[str], x: str, probs: dict[str, float], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -45,19 +52,18 @@ def quantiles(
     ``by`` the result is one row.
     """
     every = df.select(*by, number(x).alias("_v"))
-    plain_aggs = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
     if not has_large_group(df, by, group_rows):
-        return every.groupBy(*by).agg(*plain_aggs)
+        return percentiles(every, by, "_v", probs)
     rows = every.filter(F.col("_v").isNotNull())
     sizes = rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     large = cut(sizes.filter(F.col("_n") > group_rows))
     if large.isEmpty():
-        return every.groupBy(*by).agg(*plain_aggs)
+        return percentiles(every, by, "_v", probs)
     found = _refine(rows, large, by, probs)
     if not by:
         return found
     small = key_join(every, large.select(*by), by, "left_anti", small=fits_broadcast(large))
-    return small.groupBy(*by).agg(*plain_aggs).unionByName(found)
+    return percentiles(small, by, "_v", probs).unionByName(found)
 
 
 def _refine(rows: DataFrame, large: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:

@@ -88,9 +88,13 @@ def census_measures(panel: DataFrame) -> dict[str, dict[int, Column]]:
     }
 
 
-def interval_records(orders: DataFrame) -> DataFrame:
-    """Recoded interval records of the order panel with all measures."""
+def interval_records(orders: DataFrame, measures: list[str] = ("leafNumber", "seedDamage", "brchLvD")) -> DataFrame:
+    """Recoded interval records of the order panel.
+
+    Name the measures a query needs: Spark cannot drop unused fields of the reshaped
+    structs by itself, and each measure costs an aggregate per year.
+    """
     panel = recode_family(wide_panel(orders))
-    return to_intervals(
-        panel, ["id"], "Stat", census_measures(panel), keep=["BirthYear"], first_start="first_start"
-    )
+    available = census_measures(panel)
+    wanted = {m: available[m] for m in measures}
+    return to_intervals(panel, ["id"], "Stat", wanted, keep=["BirthYear"], first_start="first_start")

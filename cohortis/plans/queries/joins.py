@@ -88,7 +88,7 @@ def left_join_points(t):
 def left_join_natural(t):
     """Chained joins on all shared columns; the interval records carry the same measures without a join."""
     p = wide_panel(t.orders)
-    out = interval_records(t.orders).select("id", "interval", "survival")
+    out = interval_records(t.orders, []).select("id", "interval", "survival")
     for measure, name in (("Lvs", "leafNumber"), ("Damage", "seedDamage")):
         out = joins.left_join_natural(out, unpivot_family(p, ["id"], measure, name, label="interval"))
     return out

@@ -62,9 +62,9 @@ _AGED_SQL = """, aged AS (SELECT *, (start_int - coalesce(birth, min(start_int)
 
 
 def aged_intervals(t):
-    """Interval records with leaf number, damage, branch share and age."""
+    """Interval records with the age at their start."""
     age = age_from_start(F.col("BirthYear"), F.col("start_int"), F.col("first_start")).cast("double")
-    return interval_records(t.orders).withColumn("yearsAlive", age)
+    return interval_records(t.orders, []).withColumn("yearsAlive", age)
 
 
 # -- correlation and regression ----------------------------------------------

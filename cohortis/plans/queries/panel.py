@@ -49,7 +49,7 @@ iv AS (
     FROM iv GROUP BY interval"""
 )
 def interval_survival(t):
-    return rounded(agg.interval_survival(records_of(t.orders)))
+    return rounded(agg.interval_survival(records_of(t.orders, [])))
 
 
 @query(
@@ -98,7 +98,7 @@ def transitions_long(t):
 
 
 def _aged(t, mode: str):
-    rows = records_of(t.orders).select("id", "interval", "BirthYear", "start_int")
+    rows = records_of(t.orders, []).select("id", "interval", "BirthYear", "start_int")
     out = pan.with_age(rows, ["id"], "BirthYear", "start_int", mode)
     return out.select("id", "interval", "yearsAlive")
 
@@ -126,14 +126,14 @@ def age_mirrored(t):
     GRID + """SELECT id, min(start_int) AS first_year, max(start_int) AS last_year FROM iv GROUP BY id"""
 )
 def individual_span(t):
-    return pan.span(records_of(t.orders), ["id"], "start_int")
+    return pan.span(records_of(t.orders, []), ["id"], "start_int")
 
 
 @query(
     GRID + """SELECT id, interval, start_int, end_int, end_int AS "WINTER", survival FROM iv WHERE interval <> '1995-1996'"""
 )
 def interval_ends(t):
-    rows = records_of(t.orders).select("id", "interval", "survival")
+    rows = records_of(t.orders, []).select("id", "interval", "survival")
     return with_end_year(split_interval(drop_interval(rows, "1995-1996")))
 
 

@@ -202,11 +202,13 @@ def fit_cells(
         inputs = [f"x{j}" for j in range(len(design.names))]
         # The solver wants one row per covariate pattern: its starting values fail on heavy all-0 and all-1 rows.
         rates = x.groupBy(*inputs).agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
+        rates = rates.persist()
         rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rates)
         glr = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol="y", weightCol="w", tol=1e-10, maxIter=max_iter
         )
         model = glr.fit(rows)
+        rates.unpersist()
         coefs = np.array([model.intercept, *model.coefficients.toArray()])
         converged = model.summary.numIterations < max_iter
     else:
