@@ -43,14 +43,13 @@ def wide_panel(orders: DataFrame, years: tuple[int, ...] = YEARS) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).try_cast("int").alias("_p"),
         F.col("o_orderstatus").alias("_s"),
     )
-    aggs = [F.min("_y").alias("_born"), F.min(F.when(F.col("_s") == "F", F.col("_y"))).alias("_seen")]
+    aggs = [F.expr("min(_y) AS _born"), F.expr("min(CASE WHEN _s = 'F' THEN _y END) AS _seen")]
     for y in years:
-        here = F.col("_y") == y
         aggs += [
-            F.count_if(here).alias(f"_n{y}"),
-            F.max(F.when(here, F.col("_p"))).alias(f"_d{y}"),
-            F.count_if(here & (F.col("_s") == "F")).alias(f"_f{y}"),
-            F.count_if(here & (F.col("_s") == "O")).alias(f"_o{y}"),
+            F.expr(f"count_if(_y = {y}) AS _n{y}"),
+            F.expr(f"max(CASE WHEN _y = {y} THEN _p END) AS _d{y}"),
+            F.expr(f"count_if(_y = {y} AND _s = 'F') AS _f{y}"),
+            F.expr(f"count_if(_y = {y} AND _s = 'O') AS _o{y}"),
         ]
     grouped = o.groupBy("id").agg(*aggs)
 

@@ -170,26 +170,33 @@ def tukey_differences(t):
     return rounded(linear.tukey_hsd(returned(t), "y", "class").select("comparison", "diff", "statistic"))
 
 
-# Adjusted p for very many residual degrees of freedom: the range of k normals, with both normal
-# distribution functions summed along the grid and corrected at the end point.
-_RANGE_P = """, cmp AS (SELECT y.class || '-' || x.class AS comparison, y.m - x.m AS diff, sqrt(ssw / df2 / 2 * (1 / x.n + 1 / y.n)) AS scale,
-    (SELECT count(*) FROM c) AS k FROM c x JOIN c y ON x.class < y.class CROSS JOIN b),
-  z AS (SELECT *, abs(diff) / scale AS q, -9 + 0.005::DOUBLE * range AS z FROM cmp, range(3601)),
-  f AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS f1, exp(-(z - q) * (z - q) / 2) / sqrt(2 * pi()) AS f2 FROM z),
-  cdf AS (SELECT *, 0.005::DOUBLE * (sum(f1) OVER w - f1 / 2) + 0.005::DOUBLE * 0.005 / 12 * z * f1 AS c1,
-    0.005::DOUBLE * (sum(f2) OVER w - f2 / 2) + 0.005::DOUBLE * 0.005 / 12 * (z - q) * f2 AS c2 FROM f WINDOW w AS (PARTITION BY comparison ORDER BY z)),
-  p AS (SELECT comparison, any_value(diff) AS diff, any_value(scale) AS scale, any_value(q) AS q, 1 - any_value(k) * sum(0.005::DOUBLE * f1 * power(c1 - c2, k - 1)) AS p
-    FROM cdf GROUP BY 1)
+# Studentised range: the range of k normals, averaged over the scale (one node where the residual
+# degrees of freedom are beyond 25000). Both normal distribution functions are summed along the grid and
+# corrected at the end point; the 95 % point is read off between grid values.
+_RANGE_P = """, cmp AS (SELECT y.class || '-' || x.class AS comparison, y.m - x.m AS diff, sqrt(ssw / df2 / 2 * (1 / x.n + 1 / y.n)) AS scale
+    FROM c x JOIN c y ON x.class < y.class CROSS JOIN b),
+  qs AS (SELECT comparison AS id, abs(diff) / scale AS q FROM cmp UNION ALL SELECT 'grid', 3.855::DOUBLE + 0.001::DOUBLE * range FROM range(41)),
+  sn AS (SELECT CASE WHEN df2 > 25000 THEN 1.0::DOUBLE ELSE 1 + (range - 30) / 30.0::DOUBLE * 8 / sqrt(2 * df2) END AS sc, range AS i, df2::DOUBLE AS df2 FROM b, range(61)),
+  sw AS (SELECT sc, CASE WHEN df2 > 25000 THEN CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END ELSE
+    CASE WHEN i IN (0, 60) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 8 / 30.0::DOUBLE / sqrt(2 * df2) / 3
+    * exp(ln(2) + df2 / 2 * ln(df2 / 2) - lgamma(df2 / 2) + (df2 - 1) * ln(sc) - df2 * sc * sc / 2) END AS sw FROM sn),
+  z AS (SELECT id, q, sc, sw, q * sc AS w, -9 + 0.02::DOUBLE * range AS z FROM qs, sw, range(901) WHERE sw > 0),
+  f AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS f1, exp(-(z - w) * (z - w) / 2) / sqrt(2 * pi()) AS f2 FROM z),
+  cdf AS (SELECT *, 0.02::DOUBLE * (sum(f1) OVER v - f1 / 2) + 0.0004::DOUBLE / 12 * z * f1 AS c1,
+    0.02::DOUBLE * (sum(f2) OVER v - f2 / 2) + 0.0004::DOUBLE / 12 * (z - w) * f2 AS c2 FROM f WINDOW v AS (PARTITION BY id, q, sc ORDER BY z)),
+  pq AS (SELECT id, q, (SELECT count(*) FROM c) * sum(sw * 0.02::DOUBLE * f1 * power(c1 - c2, (SELECT count(*) FROM c) - 1)) AS p FROM cdf GROUP BY 1, 2),
+  steps AS (SELECT q, p, lead(q) OVER (ORDER BY q) AS q2, lead(p) OVER (ORDER BY q) AS p2 FROM pq WHERE id = 'grid'),
+  crit AS (SELECT q + (0.95 - p) / (p2 - p) * (q2 - q) AS crit FROM steps WHERE p <= 0.95 AND p2 > 0.95)
 """
 
 
 @query(
     RETURNED_SQL + _CLASSES + _RANGE_P + """SELECT comparison, round(diff, 6) AS diff, round(q, 6) AS statistic,
-    round(diff - 3.857655510::DOUBLE * scale, 6) AS conf_low, round(diff + 3.857655510::DOUBLE * scale, 6) AS conf_high,
-    round(greatest(p, 0), 6) AS p_adj FROM p"""
+    round(diff - crit * scale, 6) AS conf_low, round(diff + crit * scale, 6) AS conf_high,
+    round(greatest(1 - p, 0), 6) AS p_adj FROM cmp JOIN pq ON id = comparison CROSS JOIN crit"""
 )
 def tukey_hsd(t):
-    """With simultaneous limits and adjusted p-values from the studentised range (3.85766 at 95 % for 5 classes)."""
+    """With simultaneous limits and adjusted p-values from the studentised range."""
     return rounded(linear.tukey_hsd(returned(t), "y", "class"))
 
 

@@ -20,6 +20,7 @@ def build_session(app: str = "cohortis", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for k, v in settings.items():
@@ -28,10 +29,11 @@ def build_session(app: str = "cohortis", master: str | None = None, **conf: str)
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder the session names; in local mode without one, a scratch folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
+    shared, now = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    if now and (not shared or shared.removeprefix("file:").rstrip("/") in now):
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -173,7 +173,15 @@ def _maximise(
             break
         step = step / max(1.0, np.abs(step).max())
         point, steps = theta + step, 2 if np.abs(step).max() > 0.05 else 1
-    return natural(theta[None, :])[0], old, hess, solved, converged
+    here = natural(theta[None, :])[0]
+    if converged and (fixed_zero or theta[-1] >= -6):
+        # The last step is below the tolerance: take it to first order, with the modes.
+        there = natural((theta + step)[None, :])[0]
+        moved = F.col("b")
+        for j, delta in enumerate(there - here):
+            moved = moved + F.col(f"d{j}") * F.lit(float(delta))
+        return there, old, hess, solved.withColumn("b", moved), True
+    return here, old, hess, solved, converged
 
 
 class GlmmFit:
