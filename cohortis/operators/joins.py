@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS
-from .skew import drop_groups, group_sizes, keep_groups, key_join, left_join_unique
+from .skew import filter_by_keys, key_join, left_join_unique
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -70,19 +70,14 @@ def fan_out_join(left: DataFrame, right: DataFrame, on: list[str], suffix: tuple
     return lone.unionByName(met, allowMissingColumns=True)
 
 
-def _sizes_in(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool) -> DataFrame:
-    """Row counts of the left keys that occur on the right; both sides are reduced to keys first."""
-    return key_join(group_sizes(left, on), distinct_keys(right, on), on, "left_semi", null_safe)
-
-
 def semi_join(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``."""
-    return keep_groups(left, _sizes_in(left, right, on, null_safe), on)
+    return filter_by_keys(left, right, on, "left_semi", null_safe)
 
 
 def anti_join(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right``."""
-    return drop_groups(left, _sizes_in(left, right, on, null_safe), on)
+    return filter_by_keys(left, right, on, "left_anti", null_safe)
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, small: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.status import transition
-from .skew import attach, drop_groups, group_sizes
+from .skew import filter_by_keys, group_sizes, with_group_values
 
 
 def key_audit(df: DataFrame, key: list[str]) -> DataFrame:
@@ -21,7 +21,7 @@ def key_audit(df: DataFrame, key: list[str]) -> DataFrame:
 
 def tag_duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     """Every row with the number of rows of its key (``count``) and whether it is shared (``dups``)."""
-    tagged = attach(df, group_sizes(df, key, "count"), key, size="count")
+    tagged = with_group_values(df, key, {"count": F.count(F.lit(1))})
     return tagged.withColumn("dups", F.col("count") > 1)
 
 
@@ -33,7 +33,7 @@ def drop_dead_duplicates(df: DataFrame, key: list[str], last_status: str, dead:
     """
     is_dead = F.col(last_status).eqNullSafe(F.lit(dead))
     shared = group_sizes(df, key).filter(F.col("n") > 1)
-    return df.filter(~is_dead).unionByName(drop_groups(df.filter(is_dead), shared, key))
+    return df.filter(~is_dead).unionByName(filter_by_keys(df.filter(is_dead), shared, key, "left_anti"))
 
 
 def span(df: DataFrame, key: list[str], year: str) -> DataFrame:
@@ -64,18 +64,16 @@ def with_age(
     """
     if gap_mode not in ("true", "mirrored"):
         raise ValueError(f"gap_mode must be 'true' or 'mirrored', not {gap_mode!r}")
-    size = F.count(F.lit(1)).alias("_n")
     if gap_mode == "true":
-        rows = attach(df, df.groupBy(*key).agg(size, F.min(start).alias("_first")), key, size="_n")
+        rows = with_group_values(df, key, {"_first": F.min(start)})
         age = age_from_start(F.col(birth), F.col(start), F.col("_first"))
-        return rows.withColumn(name, age.cast("double")).drop("_n", "_first")
-    years = F.array_sort(F.collect_set(start)).alias("_years")
-    rows = attach(df, df.groupBy(*key).agg(size, years), key, size="_n")
-    ys = F.col("_years")
+        return rows.withColumn(name, age.cast("double")).drop("_first")
+    rows = with_group_values(df, key, {"_years": F.collect_set(start)})
+    ys = F.array_sort("_years")
     first, last = F.get(ys, F.lit(0)), F.get(ys, F.size(ys) - 1)
     from_top = F.size(ys) - F.array_position(ys, F.col(start)).cast("int")
     age = age_from_start(F.col(birth), last, first) - (F.get(ys, from_top) - first)
-    return rows.withColumn(name, age.cast("double")).drop("_n", "_years")
+    return rows.withColumn(name, age.cast("double")).drop("_years")
 
 
 def transitions_long(df: DataFrame, key: list[str], year: str, status: str) -> DataFrame:

@@ -1,20 +1,24 @@
-"""Joining group-level results back to rows when one group may hold much of the table.
-
-A plain shuffle sends a whole group to one task. Here the few heavy groups are
-found from pre-aggregated counts and joined by broadcast, where their rows stay
-spread as they were; only the light groups are shuffled. The number of heavy
-groups is bounded by arithmetic: fewer than ``HEAVY_PARTS`` groups can each hold
-more than ``1 / HEAVY_PARTS`` of the rows.
+"""Keyed operators for tables in which one key may hold much of the rows.
+
+A shuffle by key sends all rows of a key to one task. ``split_heavy`` counts the
+keys (combined before the shuffle) and separates the rows of heavy keys. What is
+needed about a heavy key is small and goes to the rows by broadcast; the other
+rows are shuffled as usual. The number of heavy keys is bounded by arithmetic:
+fewer than ``HEAVY_PARTS`` keys can each hold more than ``1 / HEAVY_PARTS`` of
+the rows. Where there are none, adaptive execution finds the broadcast empty and
+drops that branch together with its scan.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_PARTS = 1000
+HEAVY_PARTS = 100_000
+# Keys of fewer rows than this fit one task whatever their share.
+HEAVY_ROWS = 100_000
 
 
 def key_join(
@@ -37,48 +41,44 @@ def group_sizes(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def heavy_only(groups: DataFrame, size: str = "n", parts: int = HEAVY_PARTS) -> DataFrame:
-    """The groups that hold more than ``1 / parts`` of all rows; never ``parts`` or more of them."""
-    total = groups.agg(F.sum(size)).scalar()
-    return groups.filter(F.col(size) * F.lit(parts) > total)
+def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than ``1 / HEAVY_PARTS`` of all rows, and more than ``HEAVY_ROWS``."""
+    sizes = group_sizes(df, keys, "_size")
+    total = sizes.agg(F.sum("_size")).scalar()
+    heavy = sizes.filter((F.col("_size") > F.lit(HEAVY_ROWS)) & (F.col("_size") * F.lit(HEAVY_PARTS) > total))
+    return heavy.select(*keys)
 
 
-def attach(
-    df: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    size: str = "n",
-    null_safe: bool = True,
-    parts: int = HEAVY_PARTS,
-) -> DataFrame:
-    """Left join ``df`` to a table with one row per key, safe against heavy keys.
+def split_heavy(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heavy keys, the rows that have them, and the other rows. Missing keys count as a key."""
+    heavy = heavy_keys(df, keys)
+    return heavy, key_join(df, heavy, keys, "left_semi", small=True), key_join(df, heavy, keys, "left_anti", small=True)
 
-    ``groups`` holds a row for every key of ``df`` with that key's row count in
-    ``size``, as a ``groupBy`` over ``df`` yields; its other columns are attached.
-    """
-    heavy = heavy_only(groups, size, parts)
-    spread = key_join(df, heavy, keys, "inner", null_safe, small=True)
-    rest = key_join(df, heavy, keys, "left_anti", null_safe, small=True)
-    return spread.unionByName(key_join(rest, groups, keys, "left", null_safe))
 
-
-def left_join_unique(
-    left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool = False, parts: int = HEAVY_PARTS
-) -> DataFrame:
-    """Left join to any table with at most one row per key, safe against keys heavy on the left."""
-    known = key_join(group_sizes(left, keys, "_size"), right, keys, "left", null_safe)
-    return attach(left, known, keys, "_size", True, parts).drop("_size")
+def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add aggregates of a row's group to the row (output name -> aggregate)."""
+    _, spread, rest = split_heavy(df, keys)
+    figures = spread.groupBy(*keys).agg(*[v.alias(name) for name, v in values.items()])
+    window = Window.partitionBy(*keys)
+    return key_join(spread, figures, keys, small=True).unionByName(
+        rest.withColumns({name: v.over(window) for name, v in values.items()})
+    )
 
 
-def drop_groups(df: DataFrame, groups: DataFrame, keys: list[str], size: str = "n", parts: int = HEAVY_PARTS) -> DataFrame:
-    """Rows whose key is not in ``groups`` (keys with row counts), safe against heavy keys."""
-    light = key_join(df, heavy_only(groups, size, parts).select(*keys), keys, "left_anti", small=True)
-    return key_join(light, groups.select(*keys), keys, "left_anti")
+def left_join_unique(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """Left join to a table with at most one row per key."""
+    heavy, spread, rest = split_heavy(left, keys)
+    needed = key_join(right, heavy, keys, "left_semi", small=True)
+    return key_join(spread, needed, keys, "left", null_safe, small=True).unionByName(
+        key_join(rest, right, keys, "left", null_safe)
+    )
 
 
-def keep_groups(df: DataFrame, groups: DataFrame, keys: list[str], size: str = "n", parts: int = HEAVY_PARTS) -> DataFrame:
-    """Rows whose key is in ``groups`` (keys with row counts), safe against heavy keys."""
-    heavy = heavy_only(groups, size, parts).select(*keys)
-    spread = key_join(df, heavy, keys, "left_semi", small=True)
-    rest = key_join(df, heavy, keys, "left_anti", small=True)
-    return spread.unionByName(key_join(rest, groups.select(*keys), keys, "left_semi"))
+def filter_by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str, null_safe: bool = True) -> DataFrame:
+    """Semi or anti join (``how``); the right side is reduced to distinct keys first."""
+    heavy, spread, rest = split_heavy(left, keys)
+    there = right.select(*keys).distinct()
+    needed = key_join(there, heavy, keys, "left_semi", small=True)
+    return key_join(spread, needed, keys, how, null_safe, small=True).unionByName(
+        key_join(rest, there, keys, how, null_safe)
+    )

@@ -54,7 +54,7 @@ AGES = [
 
 
 @pytest.mark.parametrize(("birth", "mode", "ages"), AGES)
-def test_ages(spark, rows, birth, mode, ages):
+def test_ages(spark, rows, heavy, birth, mode, ages):
     df = spark.createDataFrame([("k", birth, y) for y in (2011, 2012, 2015)], "id string, birth int, start_int int")
     assert [r[0] for r in rows(panel.with_age(df, ["id"], gap_mode=mode).orderBy("start_int"), "yearsAlive")] == sorted(map(float, ages))
 
@@ -68,9 +68,15 @@ def test_ages_without_gap_agree(spark, rows):
 DUPLICATES = [("k1", "0"), ("k1", "1"), ("k2", "0"), ("k3", "0"), ("k3", None), ("k4", "PD"), ("k4", "0"), ("k5", "0"), ("k5", "0")]
 
 
-@pytest.mark.parametrize("parts", [1, 3, 1000])
-def test_dead_duplicates(spark, rows, parts, monkeypatch):
-    monkeypatch.setattr(skew.drop_groups, "__defaults__", ("n", parts))
+@pytest.fixture(params=[1, 3, 100_000])
+def heavy(request, monkeypatch):
+    """No floor for heavy keys, and a varying bound: none, some or all keys are heavy."""
+    monkeypatch.setattr(skew, "HEAVY_PARTS", request.param)
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 0)
+    return request.param
+
+
+def test_dead_duplicates(spark, rows, heavy):
     df = spark.createDataFrame(DUPLICATES, "id string, s string")
     assert rows(panel.drop_dead_duplicates(df, ["id"], "s")) == [("k1", "1"), ("k2", "0"), ("k3", None), ("k4", "PD")]
 
@@ -82,23 +88,37 @@ def test_audit_and_tags(spark, rows):
     assert tags["k2"] == (1, False) and tags["k5"] == (2, True) and tags[None] == (2, True)
 
 
-@pytest.mark.parametrize("parts", [1, 2, 5, 1000])
-def test_attach_is_a_left_join_whatever_is_heavy(spark, parts):
-    random.seed(parts)
+def test_group_values_whatever_is_heavy(spark, heavy):
+    random.seed(heavy)
     data = [(random.choice(["hot"] * 20 + ["a", "b", "c", None]), i) for i in range(300)]
     df = spark.createDataFrame(data, "k string, v int").repartition(5)
-    groups = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
-    got = skew.attach(df, groups, ["k"], parts=parts).collect()
-    totals: dict = {}
+    got = skew.with_group_values(df, ["k"], {"n": F.count(F.lit(1)), "total": F.sum("v"), "first": F.min("v")}).collect()
+    groups: dict = {}
     for k, v in data:
-        totals[k] = totals.get(k, 0) + v
-    assert sorted((str(r.k), r.v, r.total) for r in got) == sorted((str(k), v, totals[k]) for k, v in data)
+        groups.setdefault(k, []).append(v)
+    expected = [(str(k), v, len(groups[k]), sum(groups[k]), min(groups[k])) for k, v in data]
+    assert sorted((str(r.k), r.v, r.n, r.total, r["first"]) for r in got) == sorted(expected)
+
+
+def test_unique_join_whatever_is_heavy(spark, heavy):
+    data = [("hot" if i % 3 else random.choice(["a", "b", None]), i) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, v int").repartition(4)
+    dim = {"a": 1, "hot": 2, None: 3, "zz": 4}
+    other = spark.createDataFrame(list(dim.items()), "k string, d int")
+    for safe in (True, False):
+        want = sorted((v, str(dim.get(k) if k is not None or safe else None)) for k, v in data)
+        assert sorted((r.v, str(r.d)) for r in skew.left_join_unique(df, other, ["k"], safe).collect()) == want
+    assert joins.semi_join(df, other, ["k"]).count() + joins.anti_join(df, other, ["k"]).count() == 200
+    assert joins.anti_join(df, other, ["k"]).filter("k <> 'b'").count() == 0
+
+
+def test_heavy_keys_are_few(spark, heavy):
+    df = spark.range(2000).select(F.floor(F.sqrt("id")).alias("k"))
+    assert skew.heavy_keys(df, ["k"]).count() < heavy
 
 
-def test_heavy_groups_are_few(spark):
-    groups = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * F.col("id")).alias("n"))
-    for parts in (3, 10, 100):
-        assert skew.heavy_only(groups, parts=parts).count() < parts
+def test_light_tables_have_no_heavy_keys(spark):
+    assert skew.heavy_keys(spark.range(1000).select(F.lit(1).alias("k")), ["k"]).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -109,7 +129,7 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", [{}, {"unique": True}, {"small": True}])
-def test_left_join_nulls(sides, rows, how):
+def test_left_join_nulls(sides, rows, heavy, how):
     l, r = sides
     assert rows(joins.left_join(l, r, ["k"], null_safe=True, **how), "v", "n") == [("w", None), ("x", 10), ("y", 11), ("z", 11)]
     assert rows(joins.left_join(l, r, ["k"], **how), "v", "n") == [("w", None), ("x", None), ("y", 11), ("z", 11)]
