@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, cut
 from .skew import filter_by_keys, key_join, left_join_unique
 
 
@@ -86,8 +86,8 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, small: bool = Fa
 
 
 def join_climate(df: DataFrame, climate: DataFrame, on: str = "WINTER") -> DataFrame:
-    """Add one row of season values per record; the season table is counted, then broadcast."""
-    return left_join(df, climate, [on], small=True)
+    """Add one row of season values per record; the season table is computed once, counted, then broadcast."""
+    return left_join(df, cut(climate), [on], small=True)
 
 
 def pair_on(left: DataFrame, right: DataFrame, key: str, suffix: tuple[str, str] = ("_x", "_y")) -> DataFrame:

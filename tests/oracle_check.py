@@ -57,7 +57,8 @@ def main(names):
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+           "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

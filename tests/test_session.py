@@ -5,17 +5,28 @@ import pytest
 from cohortis import session
 
 
+class Named:
+    """A session whose settings name a checkpoint folder."""
+
+    def __init__(self, spark, folder):
+        self.sparkContext, self._folder = spark.sparkContext, folder
+
+    @property
+    def conf(self):
+        return self
+
+    def get(self, key, default=None):
+        return self._folder if key == "spark.checkpoint.dir" else default
+
+
 def test_cut_uses_the_named_folder(spark, tmp_path):
     folder = str(tmp_path / "shared")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    try:
-        assert session.cut(spark.range(5)).count() == 5
-        first = spark.sparkContext.getCheckpointDir()
-        assert folder in first
-        session.cut(spark.range(5))
-        assert spark.sparkContext.getCheckpointDir() == first
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    session._checkpoint_dir(Named(spark, folder))
+    first = spark.sparkContext.getCheckpointDir()
+    assert folder in first
+    assert session.cut(spark.range(5)).count() == 5
+    session._checkpoint_dir(Named(spark, folder))
+    assert spark.sparkContext.getCheckpointDir() == first
 
 
 def test_cluster_needs_a_shared_folder():
