@@ -24,9 +24,12 @@ def test_cut_uses_the_named_folder(spark, tmp_path):
     session._checkpoint_dir(Named(spark, folder))
     first = spark.sparkContext.getCheckpointDir()
     assert folder in first
-    assert session.cut(spark.range(5)).count() == 5
     session._checkpoint_dir(Named(spark, folder))
     assert spark.sparkContext.getCheckpointDir() == first
+    # Back under the session's own settings, the cut goes where they say.
+    assert session.cut(spark.range(5)).count() == 5
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    assert (own or folder) in spark.sparkContext.getCheckpointDir()
 
 
 def test_cluster_needs_a_shared_folder():
