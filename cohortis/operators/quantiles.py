@@ -11,6 +11,8 @@ and largest value seen in it, until one value is left. A round shuffles at most
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from .skew import key_join
 
 GROUP_ROWS = 1_000_000
 BUCKETS = 1024
+LARGEST = sys.float_info.max
 
 
 def number(x: str) -> Column:
@@ -87,10 +90,14 @@ def _refine(rows: DataFrame, large: DataFrame, by: list[str], probs: dict[str, f
         windows = cut(open_windows.select(*by, "_lo", "_hi").distinct())
         keyed = rows.withColumn("_one", F.lit(1))
         hit = key_join(keyed, windows.withColumn("_one", F.lit(1)), [*by, "_one"], small=fits_broadcast(windows))
-        at = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(BUCKETS)))
+        # Halved and clipped, so that neither infinite values nor wide windows overflow. The largest value
+        # always takes the last bucket, hence every round splits its window.
+        here, low, high = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / 2 for c in ("_v", "_lo", "_hi"))
+        at = F.floor(F.coalesce(F.try_divide(here - low, high - low), F.lit(0.0)) * F.lit(float(BUCKETS)))
+        bucket = F.when(F.col("_v") == F.col("_hi"), F.lit(BUCKETS - 1).cast("long")).otherwise(F.least(at, F.lit(BUCKETS - 1)))
         counts = (
             hit.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .select(*by, F.col("_lo").alias("_wlo"), "_v", F.least(at, F.lit(BUCKETS - 1)).alias("_b"))
+            .select(*by, F.col("_lo").alias("_wlo"), "_v", bucket.alias("_b"))
             .groupBy(*by, "_wlo", "_b")
             .agg(F.count("_v").alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
         )
@@ -113,5 +120,5 @@ def _refine(rows: DataFrame, large: DataFrame, by: list[str], probs: dict[str, f
         low = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "lo"), F.col("_lo")))
         high = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "hi"), F.col("_lo")))
         part = F.max(pos - F.floor(pos))
-        aggs.append((low + part * (high - low)).alias(name))
+        aggs.append(F.when(part == 0, low).otherwise(low + part * (high - low)).alias(name))
     return targets.groupBy(*by).agg(*aggs)

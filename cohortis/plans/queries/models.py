@@ -9,6 +9,7 @@ from ...operators import aggregate as agg
 from ...operators.panel import age_from_start
 from ...stats import curve, glm, linear, mixed
 from ...stats.compare import ModelSpec, compare_models
+from ..climate import intervals_with_climate
 from ..order_panel import interval_records
 from . import query, rounded
 from .aggregates import RETURNED_SQL, SEASON_SQL, returned, seasons
@@ -443,6 +444,20 @@ def _climate_line(x: str) -> str:
     )
 
 
+@query(
+    GRID + """, sea AS (SELECT CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) = 12 THEN 1 ELSE 0 END AS INTEGER) AS w,
+      median(o_totalprice) AS medprice FROM orders GROUP BY 1),
+    j AS (SELECT id, interval, survival, end_int AS "WINTER", medprice FROM iv LEFT JOIN sea ON w = end_int)
+    SELECT id, interval, survival, "WINTER", round(medprice, 6) AS medprice,
+    round((medprice - (SELECT avg(medprice) FROM j)) / (SELECT stddev_samp(medprice) FROM j), 6) AS scalemedprice FROM j"""
+)
+def interval_climate(t):
+    """Interval records with the season they end in, one season value standardised over the records."""
+    rows = t.orders.withColumn("WINTER", season_year("o_orderdate"))
+    records = interval_records(t.orders, []).select("id", "interval", "end_int", "survival")
+    return rounded(intervals_with_climate(records, seasons(t, rows).select("WINTER", "medprice"), "medprice").drop("end_int"))
+
+
 @query(
     _GRID_R + _MC + _mixed_sql() + _ALL_SEASONS + _climate_line("medprice") + " UNION ALL " + _climate_line("highdays") + """)
     SELECT x, n, round(r, 3) AS r, n - 2 AS df, round(slope, 5) AS slope, round(intercept, 2) AS intercept, round(r_squared, 3) AS r_squared FROM rs"""

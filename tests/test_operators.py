@@ -84,6 +84,7 @@ def test_dead_duplicates(spark, rows, heavy):
 def test_audit_and_tags(spark, rows):
     df = spark.createDataFrame(DUPLICATES + [(None, "1"), (None, "0")], "id string, s string")
     assert rows(panel.key_audit(df, ["id"])) == [(11, 6, 5, 5)]
+    assert rows(panel.key_audit(df, ["id"], approx=True)) == [(11, 6)]
     tags = {r[0]: (r[1], r[2]) for r in rows(panel.tag_duplicates(df, ["id"]), "id", "count", "dups")}
     assert tags["k2"] == (1, False) and tags["k5"] == (2, True) and tags[None] == (2, True)
 
@@ -228,6 +229,14 @@ def test_quantiles_with_buckets_of_two(spark, monkeypatch):
     assert quantiles.quantiles(df, [], "x", {"m": 0.5}, 5).first()["m"] == statistics.median(i * i for i in range(40))
 
 
+def test_quantiles_with_extreme_values(spark):
+    xs = [float("-inf"), -1.7e308, -1.0, 0.0, 5e-324, 1e-323, 2.0, 1.7e308, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    probs = {f"p{i}": i / 8 for i in range(9)}
+    got = quantiles.quantiles(df, [], "x", probs, 3).first()
+    assert [got[n] for n in probs] == xs[:9]
+
+
 @pytest.mark.parametrize("limit", [10_000, 10])
 def test_box_stats(spark, limit):
     xs = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 11.0, 100.0]
