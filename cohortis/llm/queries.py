@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, neardup
+from . import fingerprints, html_text, neardup, secret_scan, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +52,37 @@ SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, r.low AS component_id, s.doc_i
 @query(NEAR_SQL)
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), width=3, part=85)
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, folder, "documents"))
+
+
+@query()
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _urls_sql() -> str:
+    """Every pattern on every url, and the host and path rules longest first."""
+    tried = ", ".join(
+        f"CASE WHEN regexp_matches(lower(url), '{p}') THEN '{n}' END" for n, _, p in sorted(url_rules.PATTERN_RULES)
+    )
+    sites = sorted(url_rules.SITE_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sites]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits) + " WHEN patterns <> '' THEN 'block' ELSE 'allow' END"
+    return f"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  coalesce(array_to_string(list_filter([{tried}], lambda x: x IS NOT NULL), ','), '') AS patterns FROM u)
+SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, patterns FROM p
+"""
+
+
+@query(_urls_sql())
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(table(spark, folder, "pages"))
