@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, neardup, secret_scan, url_rules
+from . import decontam, fingerprints, html_text, langid, neardup, secret_scan, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,27 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, patterns FROM
 @query(_urls_sql())
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_report(table(spark, folder, "documents"))
+
+
+# Every window of thirteen tokens with at most two replaced has four equal tokens in a row: these find the places.
+DECONTAM_SQL = r"""
+WITH t AS MATERIALIZED (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+tg AS (SELECT id, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS g FROM (SELECT id, w, unnest(range(0, len(w) - 3)) AS p FROM t)),
+bg AS (SELECT id, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS g FROM (SELECT id, w, unnest(range(0, len(w) - 3)) AS p FROM b)),
+d AS MATERIALIZED (SELECT DISTINCT tg.id AS doc_id, bg.id AS item_id, tg.p - bg.p AS shift FROM tg JOIN bg USING (g)),
+e AS MATERIALIZED (SELECT doc_id, item_id, shift, q, t.w AS tw, b.w AS bw FROM d JOIN t ON t.id = doc_id JOIN b ON b.id = item_id,
+  unnest(range(greatest(0, -shift), least(len(b.w), len(t.w) - shift) - 12)) AS x(q) WHERE len(b.w) >= 13),
+f AS (SELECT doc_id, item_id, shift + q AS p, len(list_filter(range(1, 14), lambda i: tw[shift + q + i] = bw[q + i])) AS n FROM e)
+SELECT doc_id, item_id, min(p)::BIGINT AS first_token, max(n)::BIGINT AS n_equal FROM f WHERE n >= 11 GROUP BY ALL
+"""
+
+
+@query(DECONTAM_SQL)
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
