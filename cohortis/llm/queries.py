@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_text, langid, neardup, secret_scan, url_rules
+from . import decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, secret_scan, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,63 @@ SELECT doc_id, item_id, min(p)::BIGINT AS first_token, max(n)::BIGINT AS n_equal
 @query(DECONTAM_SQL)
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# Lines of the same length are compared word by word, without hashes; one word more or less by all deletions.
+LINES_SQL = r"""
+WITH l AS MATERIALIZED (SELECT doc_id, pos, line, regexp_extract_all(lower(line), '[^ \t\r\f]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
+d AS MATERIALIZED (SELECT w, len(w) AS n, min((doc_id, pos)) AS first FROM l WHERE len(w) >= 3 GROUP BY w),
+near AS (
+  SELECT a.first FROM d a JOIN d b ON a.n = b.n AND a.n >= 8 AND b.first < a.first
+    AND len(list_filter(range(1, a.n + 1), lambda i: a.w[i] <> b.w[i])) = 1
+  UNION SELECT CASE WHEN a.first > b.first THEN a.first ELSE b.first END
+  FROM (SELECT first, unnest(list_transform(range(1, n + 1), lambda i: w[1:i - 1] || w[i + 1:])) AS v FROM d WHERE n >= 9) a
+    JOIN d b ON a.v = b.w AND b.n >= 8),
+m AS (SELECT l.doc_id, l.pos, l.line, d.first IS NOT NULL AND (d.first <> (l.doc_id, l.pos) OR d.first IN (SELECT first FROM near)) AS gone
+  FROM l LEFT JOIN d ON d.w = l.w)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id
+"""
+
+
+@query(LINES_SQL)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.without_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def _mixing_sql(epochs: int = mixing.EPOCHS) -> str:
+    """Levels filled from the root, leaves by running sums over all their documents."""
+    weight = lambda c: "CASE " + " ".join(f"WHEN {c} = '{k}' THEN {w}" for k, w in mixing.WEIGHTS[c].items()) + " ELSE 1.0 END::DOUBLE" if mixing.WEIGHTS[c] else "1.0::DOUBLE"
+    parts, above = [], "SELECT least(floor(sum(n_tokens) * %s), sum(n_tokens) * %d)::DOUBLE AS given FROM t" % (mixing.SHARE, epochs)
+    for k, level in enumerate(mixing.LEVELS):
+        own, up = ", ".join(mixing.LEVELS[: k + 1]), ", ".join(mixing.LEVELS[:k])
+        by = f"PARTITION BY {up}" if up else ""
+        join = f"JOIN a{k} USING ({up})" if up else f"CROSS JOIN a{k}"
+        parts.append(f"""a{k} AS MATERIALIZED ({above}),
+c{k} AS (SELECT {own}, sum(n_tokens)::DOUBLE * {epochs} AS cap, {weight(level)} AS w FROM t GROUP BY {own}),
+f{k} AS (SELECT *, given - coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free,
+  sum(w) OVER ({by} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight FROM c{k} {join}),
+g{k} AS MATERIALIZED (SELECT *, cap * weight <= free * w + 1e-9 AS capped FROM f{k})""")
+        above = f"""SELECT {own}, CASE WHEN capped THEN cap ELSE (given - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ({by})) * w
+  / sum(CASE WHEN capped THEN 0 ELSE w END) OVER ({by}) END AS given FROM g{k}"""
+    leaf = ", ".join(mixing.LEVELS)
+    return f"""
+WITH t AS MATERIALIZED (SELECT doc_id, lang, source, len(regexp_extract_all(text, '[^ \t\r\n]+'))::BIGINT AS n_tokens,
+  CASE WHEN n < 10 THEN 'web' WHEN n < 15 THEN 'books' ELSE 'reference' END AS domain
+  FROM (SELECT *, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS n FROM documents)),
+{", ".join(parts)},
+goal AS ({above}),
+plan AS (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens, floor(any_value(given) + 1e-6)::BIGINT AS target FROM t JOIN goal USING ({leaf}) GROUP BY {leaf}),
+e AS (SELECT t.*, unnest(range({epochs})) AS epoch, tokens, target FROM t JOIN plan USING ({leaf})),
+r AS (SELECT *, target - epoch * tokens AS here, sum(n_tokens) OVER (PARTITION BY {leaf}, epoch
+  ORDER BY md5(concat_ws(':', '{mixing.SEED}', epoch::VARCHAR, doc_id::VARCHAR)) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM e)
+SELECT doc_id, domain, lang, source, epoch::INT AS epoch, n_tokens FROM r WHERE upto <= here
+"""
+
+
+@query(_mixing_sql())
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("domain", mixing.domain_of(F.col("source")))
+    return mixing.mix(docs.select("doc_id", "domain", "lang", "source", "text")).drop("text")
