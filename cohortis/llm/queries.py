@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, secret_scan, url_rules
+from . import decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, pii, secret_scan, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,3 +170,8 @@ SELECT doc_id, domain, lang, source, epoch::INT AS epoch, n_tokens FROM r WHERE
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("domain", mixing.domain_of(F.col("source")))
     return mixing.mix(docs.select("doc_id", "domain", "lang", "source", "text")).drop("text")
+
+
+@query()
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_report(table(spark, folder, "documents"))
