@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .shared import small
 
 LEVELS = ("domain", "lang", "source")
@@ -85,12 +86,13 @@ def mix(docs: DataFrame, budget_share: float = SHARE, levels=LEVELS, weights=WEI
     keys = [f"_{c}" for c in levels]
     draws = docs.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels],
                         token_count(F.col("text")).alias("n_tokens"))
-    leaves = draws.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
+    draws = cut(draws)  # narrow: texts are read for their tokens once here, and once for the result
+    leaves = cut(draws.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")))
     budget = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"] * budget_share
     plan = leaf_budgets(leaves, int(budget), levels, weights, epochs)
     plan = plan.withColumn("whole", F.expr("if(tokens > 0, least(target div tokens, {0}), {0})".format(epochs)).cast("int"))
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("tokens")).select(*levels, "whole", "rest")
-    plan = plan.toDF(*keys, "whole", "rest")
+    plan = cut(plan.toDF(*keys, "whole", "rest"))
 
     used = docs.select(*names, token_count(F.col("text")).alias("n_tokens"))
     used = used.join(small(plan), [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(k) for c, k in zip(levels, keys)])
@@ -102,13 +104,13 @@ def mix(docs: DataFrame, budget_share: float = SHARE, levels=LEVELS, weights=WEI
     sums = last.groupBy(*keys, "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = sums.selectExpr("*", f"sum(t) OVER (PARTITION BY {', '.join(keys)} ORDER BY bucket) - t AS ahead")
     edge = before.where("ahead <= rest and ahead + t > rest").groupBy(*keys).agg(F.min("bucket").alias("bucket"), F.min("ahead").alias("ahead"))
-    edge = small(edge)
+    edge = small(cut(edge))
     inside = last.join(edge, [*keys, "bucket"]).selectExpr(
         *keys, "bucket", "draw", "rest", f"ahead + sum(n_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto")
     # The last draw that fits; a leaf without an edge takes all or, with nothing left of its target, nothing new.
     stop = edge.join(inside.where("upto <= rest").groupBy(*keys).agg(F.max("draw").alias("stop")), keys, "left")
     stop = stop.select(*keys, F.col("bucket").alias("edge"), F.coalesce("stop", F.col("bucket")).alias("stop"))
-    used = used.join(small(stop), keys, "left")
+    used = used.join(small(cut(stop)), keys, "left")
     fits = (F.col("whole") < epochs) & (F.col("edge").isNull() | (F.col("draw") <= F.col("stop")))
     times = F.col("whole") + F.when(fits, 1).otherwise(0)
     used = used.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
