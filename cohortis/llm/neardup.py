@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, floor, sqrt
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from .hashing import STEP, WordHasher, mix, shingles, utf8
 
 SYMBOLS = 64  # about so many 16-bit symbols in a signature
 LOSS = 1e-6  # largest chance that a pair at the threshold exceeds the signature distance
-FINE = 512  # 8-bit symbols of the finer signature that is compared before texts are
-BLOCK = 4096  # documents of one key that are compared in one go
+BLOCK = 4096  # documents of one key or cluster that are compared in one go,
+BLOCK_SHINGLES = 2_000_000  # and their shingles
 
 
 def layout(share: float) -> tuple[int, int]:
@@ -109,63 +109,56 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, hashes array<bigint>")
 
 
-def _fine(sets: DataFrame) -> DataFrame:
-    """``(id, fine)``: the finer signature, a byte for each permutation."""
-    seeds, factors = _permutations(FINE, 7)
+def _blocks(rows: DataFrame, group: str, count: str) -> DataFrame:
+    """Rows of each group once for every pair of its blocks ``(low, high)`` that they belong to; small groups are one."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col(count)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", count)
+    return rows.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            fine = [_minima(np.array(h, dtype=np.int64).view(np.uint64), seeds, factors, 8).astype(np.uint8).tobytes()
-                    for h in batch.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fine, pa.binary())], ["id", "fine"])
-
-    return sets.select("id", "hashes").mapInArrow(run, "id long, fine binary")
 
+def _spanning(g: dict, bound: int, part: int, whole: int, test=None) -> Iterator[tuple[int, int]]:
+    """Index pairs that join the components of one group of rows, as few as can.
 
-def _compare_blocks(rows: DataFrame, chunks: int, bound: int, fine_bound: int, part: int, whole: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components within both signature bounds, from rows dealt by key and block pair.
-
-    A pair that shares several keys comes from the first of them only. Rows arrive sorted by key and block pair, so
-    one such group, of two blocks at most, is in memory at a time.
+    Rows of different components that are within the signature distance, and pass ``test``, are joined; rows that have
+    been joined already are not compared again.
     """
-
-    def pairs(key: int, g: dict) -> Iterator[tuple[int, int]]:
-        ids, comp, n, sig = g["id"], g["comp"], g["n"], g["sig"]
-        keys = _chunk_keys(sig, chunks)
-        fine = np.frombuffer(b"".join(g["fine"]), dtype=np.uint8).reshape(len(ids), -1)
-        _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
-        order = np.argsort(size[at], kind="stable")  # members of the smallest components first; the largest needs no start
-        for k, i in enumerate(order):
-            if size[at[i]] == len(ids):
-                break
-            j = order[k + 1 :]
-            j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * whole >= np.maximum(n[j], n[i]) * part)]
-            if g["low"] != g["high"]:
-                j = j[g["block"][j] != g["block"][i]]
-            j = j[(sig[j] != sig[i]).sum(axis=1) <= bound]
-            if len(j):
-                shared = keys[j] == keys[i]
-                j = j[keys[i][shared.argmax(axis=1)] == key]
-                j = j[(fine[j] != fine[i]).sum(axis=1) <= fine_bound]
-                yield from ((min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j)
+    n, sig = g["n"], g["sig"]
+    _, label, size = np.unique(g["comp"], return_inverse=True, return_counts=True)
+    order = np.argsort(size[label], kind="stable")  # members of the largest component start nothing
+    for k, i in enumerate(order):
+        j = order[k + 1 :]
+        j = j[(label[j] != label[i]) & (np.minimum(n[j], n[i]) * whole >= np.maximum(n[j], n[i]) * part)]
+        if g["low"] != g["high"]:
+            j = j[g["block"][j] != g["block"][i]]
+        j = j[(sig[j] != sig[i]).sum(axis=1) <= bound]
+        if test is not None and len(j):
+            j = j[test(i, j)]
+        for x in j:
+            if label[x] != label[i]:
+                yield i, x
+                label[label == label[x]] = label[i]
+
+
+def _by_group(rows: DataFrame, group: str, lists: tuple[str, ...], found) -> DataFrame:
+    """``(a, b)`` that ``found`` gives for each group and block pair of sorted rows; one such group is in memory."""
 
     def run(batches: Iterator) -> Iterator:
-        names = ("key", "low", "high", "block", "id", "comp", "n")
+        names = ("block", "id", "comp", "n")
         held: list[pa.RecordBatch] = []
         label = None
 
         def done() -> Iterator:
             if held:
                 table = pa.Table.from_batches(held)
-                g = {c: table.column(c).to_numpy() for c in names}
-                g |= {"sig": _matrix(table.column("sig")), "fine": table.column("fine").to_pylist()}
-                found = list(pairs(label[0], g | {"low": label[1], "high": label[2]}))
-                if found:
-                    a, b = zip(*found)
+                g = {c: table.column(c).to_numpy() for c in names} | {c: table.column(c).combine_chunks() for c in lists}
+                pairs = list(found(g | {"sig": _matrix(g["sig"]), "low": label[1], "high": label[2]}))
+                if pairs:
+                    a, b = zip(*pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            k = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
+            k = np.stack([batch.column(c).to_numpy() for c in (group, "low", "high")], axis=1)
             if not len(k):
                 continue
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
@@ -177,8 +170,29 @@ def _compare_blocks(rows: DataFrame, chunks: int, bound: int, fine_bound: int, p
                 held.append(batch.slice(x, y - x))
         yield from done()
 
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _same_texts(g: dict, part: int, whole: int):
+    """A test of one row against others on the full shingle sets, through an index of the group's shingles."""
+    column = g["hashes"]
+    ends = np.cumsum(g["n"])
+    _, shingle = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    owner = np.repeat(np.arange(len(g["n"])), g["n"])
+    by_shingle = owner[np.argsort(shingle, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+
+    def test(i: int, j: np.ndarray) -> np.ndarray:
+        own = shingle[ends[i] - g["n"][i] : ends[i]]
+        if len(j) < 32:
+            common = np.array([len(np.intersect1d(own, shingle[ends[x] - g["n"][x] : ends[x]], assume_unique=True)) for x in j])
+        else:
+            length = start[own + 1] - start[own]
+            place = np.arange(length.sum()) + np.repeat(start[own] - np.cumsum(length) + length, length)
+            common = np.bincount(by_shingle[place], minlength=len(g["n"]))[j]
+        return common * whole >= (g["n"][i] + g["n"][j] - common) * part
+
+    return test
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -199,16 +213,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     texts are one class from the start. Extra columns are not looked at; an empty table gives no rows.
 
     Work by step: (1) one pass computes signatures; equal sets collapse. (2) Each chunk of a signature, with one of
-    its symbols left out in turn, is a key; keys of two or more documents are kept. (3) In each key one document is
-    paired with all others; pairs within the distance are confirmed on the full sets, links are contracted. (4) Keys
-    whose documents are then still apart are compared in blocks, across components only, so every pair under the
-    distance is looked at; what passes a finer signature (six standard deviations) is confirmed too.
+    its symbols left out in turn, is a key; keys of two or more documents are kept. (3) In each key the first document
+    is paired with all others; pairs within the distance are confirmed on the full sets, links are contracted.
+    (4) Keys whose documents are then still apart are compared in blocks, across components only, so every pair under
+    the distance is looked at; that yields clusters of components. (5) In each cluster, again in blocks, the pairs
+    across components are decided on the full sets. Pairs of a group are never written out, only what joins it.
     """
     share = part / whole
     chunks, size = layout(share)
     bound = 2 * chunks - 1
-    off = (1 - share) * (1 - 2**-8)
-    fine_bound = floor(FINE * (off + 6 * sqrt(off * (1 - off) / FINE)))
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
 
     signed = cut(signatures(texts, width, chunks * size))
@@ -225,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = cut(keyed.join(shared, "key").select("key", "id").distinct())
 
-    hubs = members.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"), F.count("*").alias("c"))
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
     first = (members.join(hubs, "key").where("id <> hub")
              .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     marks = reps.select("id", "n", "sig")
@@ -238,16 +251,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     links = cut(_confirmed(near, sets, part, whole).distinct())
     labels = components(links)
 
-    placed = members.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     apart = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y and c > 2")
-    rest = placed.join(apart.select("key", "c"), "key").select("key", "id", "comp", "c")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rest = rest.join(marks, "id").join(_fine(sets.join(rest.select("id").distinct(), "id", "left_semi")).dropDuplicates(["id"]), "id")
-    more = _compare_blocks(rest, chunks, bound, fine_bound, part, whole).distinct()
-    late = cut(_confirmed(more, sets, part, whole).distinct())
+    rest = cut(placed.join(apart.select("key", (F.col("c") / BLOCK).alias("blocks")), "key"))
+    dealt = _blocks(rest.join(marks, "id"), "key", "blocks")
+    joined = _by_group(dealt, "key", ("sig",), lambda g: (
+        (g["comp"][i], g["comp"][j]) for i, j in _spanning(g, bound, part, whole)))
+    clusters = components(joined)
+    held = rest.select("id", "comp").distinct().join(clusters.select(F.col("id").alias("comp"), F.col("component").alias("cluster")), "comp")
+    held = held.join(marks, "id")
+    sizes = held.groupBy("cluster").agg(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    held = _blocks(held.join(sizes, "cluster").join(sets.dropDuplicates(["id"]), "id"), "cluster", "blocks")
+    late = cut(_by_group(held, "cluster", ("sig", "hashes"), lambda g: (
+        (g["id"][i], g["id"][j]) for i, j in _spanning(g, bound, part, whole, _same_texts(g, part, whole)))).distinct())
     if not late.isEmpty():
         labels = components(links.union(late))
 
