@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+TASK_LINKS = 100_000  # links a task of a contraction handles; fewer links take fewer tasks, and fewer shuffle files
 
-def _star(links: DataFrame, low: bool) -> DataFrame:
+
+def _star(links: DataFrame, low: bool, tasks: int) -> DataFrame:
     """Move each node's larger (or, with ``low``, smaller) neighbours to its smallest neighbour."""
     if low:
         near = links
@@ -20,7 +22,7 @@ def _star(links: DataFrame, low: bool) -> DataFrame:
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     else:
         moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b").coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = cut(_star(_star(edges, low=False), low=True))
+        tasks = 1 + before[0] // TASK_LINKS
+        edges = cut(_star(_star(edges.coalesce(tasks), False, tasks), True, tasks))
         now = state(edges)
         if now == before:
             break
