@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pinned
+from ..session import cut
+from .shared import pinned, small
 
 LEAST_WORDS = 3  # lines with fewer words are left alone
 NEAR_WORDS = 8  # lines from so many words on are also compared with one edit; shorter ones must be equal
 PLACES = 10**10  # more lines than a document can have
 
-WORDS = "regexp_extract_all(lower(line), '([^ \\\\t\\\\r\\\\f]+)', 1)"
-
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row_id, pos, words, n)`` of the lines that are looked at."""
-    lines = docs.select("doc_id", "row_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "row_id", "pos", F.expr(WORDS).alias("words"))
-    return lines.withColumn("n", F.size("words")).where(F.col("n") >= LEAST_WORDS)
+    """``(doc_id, row_id, pos, norm, n)`` of the lines that are looked at: lower-cased, without blanks at the ends."""
+    lines = docs.select("doc_id", "row_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    lines = lines.select("doc_id", "row_id", "pos", F.trim("line").alias("norm"))
+    blanks = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
+    return lines.withColumn("n", blanks + 1).where(F.col("n") >= LEAST_WORDS)
 
 
 def _half_keys() -> list:
@@ -28,8 +28,8 @@ def _half_keys() -> list:
     """
     keys = []
     for m in ("n", "n - 1"):
-        keys.append(F.expr(f"xxhash64('first', {m}, slice(words, 1, ({m}) div 2))"))
-        keys.append(F.expr(f"xxhash64('last', {m}, slice(words, n - (({m}) - ({m}) div 2) + 1, ({m}) - ({m}) div 2))"))
+        keys.append(F.expr(f"xxhash64('first', {m}, substring_index(norm, ' ', ({m}) div 2))"))
+        keys.append(F.expr(f"xxhash64('last', {m}, substring_index(norm, ' ', -(({m}) - ({m}) div 2)))"))
     return keys
 
 
@@ -39,25 +39,22 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     See :func:`without_repeated_lines` for what is dropped.
     """
     rank = F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos")
-    lines = _lines(docs).select(
-        "doc_id", "row_id", "pos", "n", rank.cast("decimal(38,0)").alias("rank"),
-        F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"),
-        F.when(F.col("n") >= NEAR_WORDS, F.array(*_half_keys())).alias("halves"),
-    )
-    distinct = lines.groupBy("h", "g").agg(
-        F.min("rank").alias("first"), F.min("n").alias("n"), *[F.min(F.col("halves")[i]).alias(f"half{i}") for i in range(4)])
+    rank = rank.cast("decimal(38,0)").alias("rank")
+    hashes = F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("g")
+    hashed = _lines(docs).select(rank, *hashes, F.when(F.col("n") >= NEAR_WORDS, F.array(*_half_keys())).alias("halves"))
+    distinct = cut(hashed.groupBy("h", "g").agg(
+        F.min("rank").alias("first"), *[F.min(F.col("halves")[i]).alias(f"half{i}") for i in range(4)]))
 
     # Lines that share a half with another line; only they can have a partner.
-    near = distinct.where(F.col("n") >= NEAR_WORDS)
-    halves = near.select("first", F.explode(F.array_distinct(F.array(*[f"half{i}" for i in range(4)]))).alias("half"))
+    halves = distinct.where("half0 is not null").select("h", "g", F.explode(F.array_distinct(F.array(*[f"half{i}" for i in range(4)]))).alias("half"))
     common = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    chosen = halves.join(common, "half").groupBy("first").agg(F.count("*").alias("c"))
-    wanted = chosen.select(
-        F.floor(F.col("first") / F.lit(PLACES).cast("decimal(11,0)")).cast("long").alias("doc_id"), "first")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    ranked = _lines(texts).select(rank.cast("decimal(38,0)").alias("first"), "words", "n")
-    apart = ranked.where(F.col("n") >= NEAR_WORDS).join(chosen.select("first"), "first").groupBy("first").agg(
-        F.first("words").alias("words"), F.first("n").alias("n"))
+    chosen = halves.join(common, "half").select("h", "g").distinct()
+    chosen = cut(distinct.select("h", "g", "first").join(chosen, ["h", "g"]).select("first"))
+    place = F.floor(F.col("first") / F.lit(PLACES).cast("decimal(11,0)")).cast("long").alias("doc_id")
+    texts = docs.join(small(chosen.select(place).distinct()), "doc_id", "left_semi")
+    ranked = _lines(texts).select(rank.alias("first"), F.split("norm", " ").alias("words"), "n")
+    apart = ranked.where(F.col("n") >= NEAR_WORDS).join(small(chosen), "first").dropDuplicates(["first"])
+    apart = cut(apart.select("first", "words", "n"))
 
     # The words one deletion leaves, as a sum without carry over (place, word): the words before the gap keep their
     # place, those after it move up by one. One running total over the line gives all its variants.
@@ -88,10 +85,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     same = both.where(F.expr(
         f"CASE size(a) - size(b) WHEN 0 THEN {rest.format('a', 1)} = {rest.format('b', 1)} "
         f"WHEN 1 THEN {rest.format('a', 1)} = {rest.format('b', 0)} WHEN -1 THEN {rest.format('a', 0)} = {rest.format('b', 1)} ELSE false END"))
-    late = same.select("first", F.lit(True).alias("late")).distinct()
+    late = cut(same.select("first", F.lit(True).alias("late")).distinct())
 
     judged = distinct.join(late, "first", "left").select("h", "g", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    repeated = lines.select("doc_id", "row_id", "pos", "rank", "h", "g").join(judged, ["h", "g"])
+    repeated = _lines(docs).select("doc_id", "row_id", "pos", rank, *hashes).join(judged, ["h", "g"])
     repeated = repeated.where(F.col("late") | (F.col("rank") > F.col("first")))
     return repeated.groupBy("doc_id", "row_id").agg(F.collect_set("pos").alias("drops"))
 
@@ -99,14 +96,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with each text cut to its first-seen lines; ``n_lines`` and ``n_dropped`` are added.
 
-    Lines end at line feeds and are compared as lower-cased words. A line goes if an equal line stands earlier, in a
+    Lines end at line feeds and are compared in lower case, without blanks at their ends; words stand between single
+    blanks. A line goes if an equal line stands earlier, in a
     smaller doc_id or further up in the same document, or, from eight words on, if an earlier line differs by one word
     replaced, added or left out. A line goes for any earlier partner, one that goes itself too. Lines of fewer than
     three words stay. Null texts stay null and empty ones empty, with 0 dropped; rows with a null doc_id stay as they
     are. Rows that repeat a doc_id hold the same places: none of them is earlier. Other columns stay; an ``n_chars``
     column is not recounted. An empty table stays empty.
 
-    Documents are shuffled by doc_id for the candidates' words and for the final cut; lines travel as hashes.
+    Lines travel as hashes. Documents are shuffled by doc_id for the final cut, and once before if more than
+    ``SMALL_ROWS`` of them (counted) hold a line that shares a half with another one.
     """
     row = F.xxhash64("text")
     known = docs.where("doc_id is not null")
