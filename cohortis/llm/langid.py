@@ -41,7 +41,7 @@ def _log_rows(counts: list[tuple[str, int, int]], n: int) -> tuple[dict[str, int
     table = np.full((len(row), n), 0.5)
     for key, lang, c in counts:
         table[row[key], lang] += c
-    return row, np.log(table / table.sum(axis=0)) if row else table
+    return row, np.log(table / (table.sum(axis=0) + 0.5)) if row else table  # half a count for all that is not kept
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS, seed: Column | None = None) -> Model:
