@@ -85,7 +85,7 @@ def log_of(col: str | Column) -> Column:
 
 
 def as_factor(df: DataFrame, col: str) -> DataFrame:
-    """Treat a column as categories: whole numbers lose their ``.0``, the first sorted level is the baseline."""
+    """Treat a column as categories: whole numbers lose their ``.0``, the first level in number order is the baseline."""
     c = F.col(col)
     if dict(df.dtypes)[col] in ("double", "float"):
         return df.withColumn(col, F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string")))

@@ -215,7 +215,7 @@ def profile(df: DataFrame, cols: list[str], group_rows: int = GROUP_ROWS) -> Dat
         F.max("value").alias("max"),
         F.stddev_samp("value").alias("sd"),
     ]
-    if df.limit(group_rows + 1).count() <= group_rows:
+    if df.count() <= group_rows:
         return percentiles(long, ["column"], number("value"), QUARTILES, *figures)
     basic = long.groupBy("column").agg(*figures)
     return key_join(basic, quantiles(long, ["column"], "value", QUARTILES, group_rows), ["column"])

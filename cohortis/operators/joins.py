@@ -47,7 +47,7 @@ def left_join(
     left, right = _suffix_clashes(left, right, on, suffix)
     if unique and not small:
         return left_join_unique(left, right, on, null_safe)
-    fits = small and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    fits = small and right.count() <= BROADCAST_ROWS
     return key_join(left, right, on, "left", null_safe, small=fits)
 
 

@@ -31,7 +31,7 @@ def number(x: str) -> Column:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.count() <= BROADCAST_ROWS
 
 
 def has_large_group(df: DataFrame, by: list[str], group_rows: int = GROUP_ROWS) -> bool:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Most rows a table may have and still be sent to every executor.
@@ -28,23 +26,24 @@ def build_session(app: str = "cohortis", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; in local mode without one, a scratch folder."""
+def _checkpoint_dir(spark: SparkSession) -> bool:
+    """Use the folder the session names; whether there is one."""
     sc = spark.sparkContext
     shared, now = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
-    if now and (not shared or shared.removeprefix("file:").rstrip("/") in now):
-        return
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="cohortis-checkpoint-")
-    sc.setCheckpointDir(shared)
+    if shared and not (now and shared.removeprefix("file:").rstrip("/") in now):
+        sc.setCheckpointDir(shared)
+    return bool(shared or now)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and continue from there.
+    """Compute ``df`` once and continue from the result.
 
-    Files outlive a lost executor, so iterative jobs never replay earlier rounds.
+    It goes to the checkpoint folder that the session names, which all executors share: files outlive a lost executor,
+    so iterative jobs never replay earlier rounds. Without such a folder the result is kept by the executors and
+    computed again where it is lost.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if _checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    kept = df.persist()
+    kept.count()
+    return kept

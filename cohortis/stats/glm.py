@@ -19,10 +19,17 @@ from pyspark.sql import functions as F
 
 from . import dist
 
-MAX_LEVELS = 500
 TIDY = "term string, estimate double, std_error double, statistic double, p_value double"
 
 
+def in_order(levels: list) -> list:
+    """Levels in factor order: by number if all of them are numbers, also as text, else by text."""
+    try:
+        return sorted(levels, key=lambda v: (float(v), str(v)))
+    except ValueError:
+        return sorted(levels)
+
+
 def complete(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropna(subset=list(dict.fromkeys(cols)))
 
@@ -49,9 +56,7 @@ class Design:
                 out.names.append(t)
                 out.exprs.append(F.col(t).cast("double"))
                 continue
-            levels = [r[0] for r in cells.select(t).distinct().orderBy(t).limit(MAX_LEVELS + 1).collect()]
-            if len(levels) > MAX_LEVELS:
-                raise ValueError(f"{t} has more than {MAX_LEVELS} levels")
+            levels = in_order([r[0] for r in cells.select(t).distinct().collect()])
             for level in levels[1:]:
                 out.names.append(f"{t}[{level}]")
                 out.exprs.append((F.col(t) == F.lit(level)).cast("double"))

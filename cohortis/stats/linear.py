@@ -12,33 +12,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import class_stats
+from ..operators.quantiles import number
 from . import dist
 
-MAX_CLASSES = 1000
+
+def _pearson(u: Column, v: Column) -> Column:
+    """Correlation over the rows that have both; NULL without spread, where the built-in one fails in ANSI mode."""
+    return F.try_divide(F.regr_sxy(u, v), F.sqrt(F.regr_sxx(u, v)) * F.sqrt(F.regr_syy(u, v)))
 
 
 def corr(df: DataFrame, x: str, y: str, use: str = "pairwise", name: str = "r") -> DataFrame:
-    """Pearson correlation; ``use="everything"`` gives NULL when any value is missing."""
-    r = F.corr(x, y)
+    """Pearson correlation; ``use="everything"`` gives NULL when any value is missing. NaN is missing."""
+    u, v = number(x), number(y)
+    r = _pearson(u, v)
     if use == "everything":
-        r = F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) == F.count(F.lit(1)), r)
+        r = F.when(F.count(F.when(u.isNotNull() & v.isNotNull(), 1)) == F.count(F.lit(1)), r)
     elif use != "pairwise":
         raise ValueError(f"use must be 'pairwise' or 'everything', not {use!r}")
     return df.agg(r.alias(name))
 
 
 def corr_tests(df: DataFrame, pairs: list[tuple[str, str]], level: float = 0.95) -> DataFrame:
-    """Per pair: complete rows, r, t, degrees of freedom, two-sided p, confidence limits."""
+    """Per pair: complete rows, r, t, degrees of freedom, two-sided p, confidence limits.
+
+    NaN is missing; where r is undefined (constant or infinite values) only the counts are given.
+    """
     aggs = []
     for i, (x, y) in enumerate(pairs):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+        u, v = number(x), number(y)
+        aggs += [_pearson(u, v).alias(f"r{i}"), F.count_if(u.isNotNull() & v.isNotNull()).alias(f"n{i}")]
     row = df.agg(*aggs).first()
     reach = dist.normal_quantile(0.5 + level / 2)
     out = []
     for i, (x, y) in enumerate(pairs):
         r, n = row[f"r{i}"], row[f"n{i}"]
         t = p = lo = hi = None
+        r = None if r is None or math.isnan(r) else r
         if r is not None and n > 2:
             t = r * math.sqrt((n - 2) / (1 - r * r)) if abs(r) < 1 else math.copysign(math.inf, r)
             p = dist.t_p(t, n - 2) if math.isfinite(t) else 0.0
@@ -99,18 +108,19 @@ class LinearFit:
 def lms(df: DataFrame, pairs: list[tuple[str, str]]) -> list[LinearFit | None]:
     """Simple regressions of (y, x) pairs on their complete rows, all in one pass.
 
-    None where the slope is undefined (fewer than two distinct x).
+    None where the slope is undefined (fewer than two distinct x). NaN is missing.
     """
     aggs = []
     for i, (y, x) in enumerate(pairs):
+        u, v = number(y), number(x)
         aggs += [
-            F.regr_count(y, x).alias(f"n{i}"),
-            F.regr_slope(y, x).alias(f"b{i}"),
-            F.regr_intercept(y, x).alias(f"a{i}"),
-            F.regr_sxx(y, x).alias(f"xx{i}"),
-            F.regr_syy(y, x).alias(f"yy{i}"),
-            F.regr_sxy(y, x).alias(f"xy{i}"),
-            F.regr_avgx(y, x).alias(f"mx{i}"),
+            F.regr_count(u, v).alias(f"n{i}"),
+            F.regr_slope(u, v).alias(f"b{i}"),
+            F.regr_intercept(u, v).alias(f"a{i}"),
+            F.regr_sxx(u, v).alias(f"xx{i}"),
+            F.regr_syy(u, v).alias(f"yy{i}"),
+            F.regr_sxy(u, v).alias(f"xy{i}"),
+            F.regr_avgx(u, v).alias(f"mx{i}"),
         ]
     r = df.agg(*aggs).first()
     return [
@@ -132,25 +142,26 @@ def lm_fitted(df: DataFrame, fit: LinearFit, name: str = "fitted") -> DataFrame:
     return df.withColumn(name, fit.fitted())
 
 
-def _classes(df: DataFrame, y: str, group: str) -> list:
-    """Class size, mean and sd on the driver; the number of classes is checked."""
-    stats = class_stats(df.dropna(subset=[y, group]), group, y)
-    rows = stats.orderBy("class").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{group} has more than {MAX_CLASSES} classes")
-    return rows
+def _classes(df: DataFrame, y: str, group: str) -> DataFrame:
+    """Class size, mean and sd."""
+    return class_stats(df.dropna(subset=[y, group]), group, y)
 
 
-def _decompose(rows: list) -> tuple[float, int, float, int]:
-    n = sum(r["n"] for r in rows)
-    centre = math.fsum(r["n"] * r["mean"] for r in rows) / n
-    between = math.fsum(r["n"] * (r["mean"] - centre) ** 2 for r in rows)
-    within = math.fsum((r["n"] - 1) * r["sd"] ** 2 for r in rows if r["n"] > 1)
-    return between, len(rows) - 1, within, n - len(rows)
+def _decompose(stats: DataFrame) -> tuple[float, int, float, int]:
+    """Sums of squares and degrees of freedom between and within classes, summed where the classes are."""
+    whole = stats.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre")).first()
+    if not whole["n"]:
+        return 0.0, 0, 0.0, 0
+    off = F.col("mean") - F.lit(whole["centre"])
+    r = stats.agg(
+        F.sum(F.col("n") * off * off).alias("between"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, (F.col("n") - 1) * F.col("sd") * F.col("sd"))), F.lit(0.0)).alias("within"),
+    ).first()
+    return r["between"], whole["k"] - 1, r["within"], whole["n"] - whole["k"]
 
 
 def anova_oneway(df: DataFrame, y: str, group: str) -> DataFrame:
-    """Two rows, the group and the residuals: degrees of freedom, sums of squares, F, p."""
+    """Two rows, the group and the residuals: degrees of freedom, sums of squares, F, p; NULL where undefined."""
     ssb, df1, ssw, df2 = _decompose(_classes(df, y, group))
     msb, msw = (ssb / df1 if df1 else None), (ssw / df2 if df2 else None)
     f = msb / msw if msb is not None and msw else None
@@ -162,15 +173,22 @@ def anova_oneway(df: DataFrame, y: str, group: str) -> DataFrame:
 
 
 def tukey_hsd(df: DataFrame, y: str, group: str, level: float = 0.95) -> DataFrame:
-    """Differences of class means with simultaneous limits and adjusted p-values, unequal sizes allowed."""
-    rows = _classes(df, y, group)
-    _, _, ssw, df2 = _decompose(rows)
-    mse, k = ssw / df2, len(rows)
-    crit = dist.tukey_quantile(level, k, df2)
+    """Differences of class means with simultaneous limits and adjusted p-values, unequal sizes allowed.
+
+    The result has a row per pair of classes. Without spread inside the classes only the differences are given.
+    """
+    stats = _classes(df, y, group)
+    rows = stats.orderBy("class").collect()
+    _, _, ssw, df2 = _decompose(stats)
+    mse, k = (ssw / df2 if df2 else 0.0), len(rows)
+    crit = dist.tukey_quantile(level, k, df2) if mse and k > 1 else None
     out = []
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
             diff = b["mean"] - a["mean"]
+            if crit is None:
+                out.append((f"{b['class']}-{a['class']}", diff, None, None, None, None))
+                continue
             scale = math.sqrt(mse / 2 * (1 / a["n"] + 1 / b["n"]))
             q = abs(diff) / scale
             p = 1 - dist.tukey_cdf(q, k, df2)

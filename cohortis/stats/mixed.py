@@ -25,6 +25,7 @@ from . import dist
 from .glm import Design, complete, to_cells
 from .linear import corr_tests, lms
 
+MODE_ROUNDS = 40  # rounds of Newton steps towards the group effects before a fit is given up
 SALTS = 32
 
 
@@ -106,7 +107,7 @@ class _Laplace:
     def evaluate(self, thetas: np.ndarray, steps: int, solved: DataFrame | None = None, at: np.ndarray | None = None):
         """Objective and gradient per candidate, and the modes of the first one, solved to rounding error."""
         modes = self.ready(thetas, solved, at)
-        while True:
+        for _ in range(MODE_ROUNDS):
             for _ in range(steps):
                 modes = self.newton(modes)
             found = cut(self.sums(modes))
@@ -118,7 +119,10 @@ class _Laplace:
             if max(r["off"] for r in got) < 1e-6:
                 grad = [[r[f"g{j}"] for j in range(self.p + 1)] for r in got]
                 return np.array([r["obj"] for r in got]), np.array(grad), first
+            if not all(math.isfinite(r["off"]) for r in got):
+                break
             modes, steps = self.ready(thetas, first, thetas[0]), 2
+        raise ArithmeticError("the group effects could not be solved")
 
 
 def _start(lap: _Laplace) -> tuple[np.ndarray, DataFrame]:
@@ -256,6 +260,8 @@ def glmm_logit(
         moments += [F.sum(w * x).alias(f"s{j}"), F.sum(w * x * x).alias(f"q{j}")]
     m = named.agg(*moments).first()
     n = m["n"]
+    if not all(v is None or math.isfinite(v) for v in m):
+        raise ValueError("covariates must be finite")
     centre = np.array([m[f"s{j}"] / n for j in range(p - 1)])
     scale = np.array([math.sqrt(max(m[f"q{j}"] / n - c * c, 0.0)) or 1.0 for j, c in enumerate(centre)])
     cells = named.select(

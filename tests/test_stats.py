@@ -260,3 +260,41 @@ def test_model_grid(sample):
     assert len({r.n for r in same.values()}) == 1 and same["c"].aic is None and same["d"].aic < same["a"].aic
     own = {r.model: r for r in compare.compare_models(df, "y", specs[:2], common_frame=False).collect()}
     assert own["a"].n == 600 > own["b"].n
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (math.nan, 100.0), (7.0, None)], "x double, y double")
+    (r,) = linear.corr_tests(df, [("x", "y")]).collect()
+    assert r.n == 3 and r.r == pytest.approx(0.720576692122892) and r.p_value > 0.1
+    assert linear.corr(df, "x", "y").first()[0] == pytest.approx(0.720576692122892)
+    assert linear.corr(df, "x", "y", use="everything").first()[0] is None
+    assert linear.lm(df, "y", "x").slope == pytest.approx(1.5)
+    (c,) = linear.corr_tests(spark.createDataFrame([(1.0, 2.0)] * 4, "x double, y double"), [("x", "y")]).collect()
+    assert c.r is None and c.p_value is None
+
+
+def test_empty_and_even_classes(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, y double")
+    assert [r.statistic for r in linear.anova_oneway(df.limit(0), "y", "g").collect()] == [None, None]
+    assert linear.tukey_hsd(df.limit(0), "y", "g").collect() == []
+    assert [(r.diff, r.p_adj) for r in linear.tukey_hsd(df, "y", "g").collect()] == [(1.0, None)]
+
+
+def test_anova_of_many_classes(spark):
+    df = spark.range(6000).selectExpr("id % 2000 AS g", "cast(id % 7 AS double) AS y")
+    group, rest = linear.anova_oneway(df, "y", "g").collect()
+    assert (group.df, rest.df) == (1999, 4000)
+
+
+def test_number_levels_in_number_order(spark):
+    from cohortis.stats.glm import in_order
+
+    assert in_order(["10", "9", "2.5"]) == ["2.5", "9", "10"] and in_order(["b", "10", "a"]) == ["10", "a", "b"]
+
+
+def test_mixed_model_refuses_infinite_values(spark):
+    from cohortis.stats.mixed import glmm_logit
+
+    df = spark.createDataFrame([(float(i % 2), math.inf if i == 3 else float(i), str(i % 3)) for i in range(30)], "y double, x double, g string")
+    with pytest.raises(ValueError):
+        glmm_logit(df, "y", ["x"], "g")
