@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import as_col
 from ..session import cut
-from .quantiles import GROUP_ROWS, fits_broadcast, has_large_group, number, percentiles, quantiles
-from .skew import key_join, left_join_unique
+from .quantiles import GROUP_ROWS, HINGES, fits_broadcast, has_large_group, hinges, number, percentiles, quantiles
+from .skew import key_join, split_join
 
 
 def total(col: str | Column, na_rm: bool = True) -> Column:
@@ -222,18 +222,18 @@ def profile(df: DataFrame, cols: list[str], group_rows: int = GROUP_ROWS) -> Dat
 
 
 def box_stats(df: DataFrame, by: list[str], x: str, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Per group: quartiles, whisker ends within 1.5 interquartile ranges, outliers beyond them."""
-    q = cut(quantiles(df, by, x, QUARTILES, group_rows))
-    values = df.select(*by, F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    """Per group: hinges, whisker ends within 1.5 times their distance from them, outliers beyond those."""
+    q = cut(hinges(df, by, x, group_rows))
+    values = df.select(*by, number(x).alias("_x")).filter(F.col("_x").isNotNull())
     if fits_broadcast(q):
         boxed = key_join(values, q, by, small=True)
     else:
-        boxed = left_join_unique(values, q, by, null_safe=True)
+        boxed = split_join(values, q, by, null_safe=True)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     within = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)
     return boxed.groupBy(*by).agg(
         F.count("_x").alias("n"),
-        *[F.first(n).alias(n) for n in QUARTILES],
+        *[F.first(n).alias(n) for n in HINGES],
         F.min(F.when(within, F.col("_x"))).alias("whisker_low"),
         F.max(F.when(within, F.col("_x"))).alias("whisker_high"),
         F.count_if(~within).alias("n_outliers"),

@@ -1,9 +1,9 @@
 """Left, semi and anti joins, lookups, climate joins and row binds.
 
-Plain joins are left to Spark: both inputs are shuffled as they are, so adaptive
-execution can split a partition that one key fills. ``unique=True`` says the
-right side has at most one row per key and takes the route that does not rely on
-that. ``small=True`` broadcasts the right side after counting it.
+Joins are left to Spark: both inputs are shuffled, so adaptive execution can split
+a partition that one key fills. ``unique=True`` says the right side has at most
+one row per key, perhaps because it was grouped by them. ``small=True`` broadcasts
+the right side after counting it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, cut
-from .skew import filter_by_keys, key_join, left_join_unique
+from .skew import filter_by_keys, key_join, split_join
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -46,7 +46,7 @@ def left_join(
     """
     left, right = _suffix_clashes(left, right, on, suffix)
     if unique and not small:
-        return left_join_unique(left, right, on, null_safe)
+        return split_join(left, right, on, "left", null_safe)
     fits = small and right.count() <= BROADCAST_ROWS
     return key_join(left, right, on, "left", null_safe, small=fits)
 
@@ -59,14 +59,17 @@ def left_join_natural(left: DataFrame, right: DataFrame, null_safe: bool = False
     return left_join(left, right, on, null_safe=null_safe, **how)
 
 
-def fan_out_join(left: DataFrame, right: DataFrame, on: list[str], suffix: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+def fan_out_join(
+    left: DataFrame, right: DataFrame, on: list[str], suffix: tuple[str, str] = ("_x", "_y"), null_safe: bool = False
+) -> DataFrame:
     """Left join of a table with unique keys to many rows per key, safe against keys heavy on the right.
 
-    The many rows look up their one left row; left rows nobody asked for are added.
+    The right side of a left join cannot be split. So the many rows look up their one left row; left rows nobody
+    asked for are added. ``null_safe`` lets a missing key match a missing key.
     """
     left, right = _suffix_clashes(left, right, on, suffix)
-    met = left_join_unique(right, left.withColumn("_met", F.lit(True)), on).filter(F.col("_met")).drop("_met")
-    lone = key_join(left, distinct_keys(right, on), on, "left_anti", null_safe=False)
+    met = split_join(right, left, on, "inner", null_safe)
+    lone = filter_by_keys(left, right, on, "left_anti", null_safe)
     return lone.unionByName(met, allowMissingColumns=True)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.status import transition
-from .skew import filter_by_keys, group_sizes, with_group_values
+from .skew import group_sizes, with_group_values
 
 
 def key_audit(df: DataFrame, key: list[str], approx: bool = False) -> DataFrame:
@@ -33,12 +33,11 @@ def tag_duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 def drop_dead_duplicates(df: DataFrame, key: list[str], last_status: str, dead: str = "0") -> DataFrame:
     """Delete rows whose key is shared and whose raw last status is ``dead``.
 
-    Raw means before codes are recoded: ``PD`` and missing rows stay. Only the
-    dead rows take part in the join.
+    Raw means before codes are recoded: ``PD`` and missing rows stay.
     """
     is_dead = F.col(last_status).eqNullSafe(F.lit(dead))
-    shared = group_sizes(df, key).filter(F.col("n") > 1)
-    return df.filter(~is_dead).unionByName(filter_by_keys(df.filter(is_dead), shared, key, "left_anti"))
+    counted = with_group_values(df, key, {"_n": F.count(F.lit(1))})
+    return counted.filter(~is_dead | (F.col("_n") == 1)).drop("_n")
 
 
 def span(df: DataFrame, key: list[str], year: str) -> DataFrame:

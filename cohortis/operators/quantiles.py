@@ -1,4 +1,4 @@
-"""Exact interpolated quantiles per group, for groups of any size.
+"""Exact interpolated quantiles and hinges per group, for groups of any size.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one task.
 That is right while groups are small; a counting pass finds the groups that are
@@ -12,6 +12,7 @@ and largest value seen in it, until one value is left. A round shuffles at most
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ GROUP_ROWS = 1_000_000
 BUCKETS = 1024
 LARGEST = sys.float_info.max
 
+# From the number of values to a place among the sorted ones, counted from 0; a fraction lies between two values.
+Place = Callable[[Column], Column]
+
+# The median, and the medians of the two halves, each with the middle value of an odd number.
+HINGES: dict[str, Place] = {
+    "q1": lambda n: F.floor((n + 3) / 2) / 2 - 1,
+    "median": lambda n: (n - 1) / 2,
+    "q3": lambda n: n - F.floor((n + 3) / 2) / 2,
+}
+
 
 def number(x: str) -> Column:
     """The column as a double with NaN as missing."""
@@ -46,6 +57,27 @@ def percentiles(df: DataFrame, by: list[str], v: str | Column, probs: dict[str,
     return out.select("*", *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(probs)]).drop("_p")
 
 
+def ranked(df: DataFrame, by: list[str], places: dict[str, Place]) -> DataFrame:
+    """Values of ``_v`` at places among the sorted values, out of counts per distinct value; groups without values are left out."""
+    group = Window.partitionBy(*by)
+    counts = df.filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    sums = counts.withColumns({"_upto": F.sum("_c").over(group.orderBy("_v")), "_n": F.sum("_c").over(group)})
+
+    def first_beyond(k: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > k, F.col("_v")))
+
+    return sums.groupBy(*by).agg(
+        *[
+            between(first_beyond(F.floor(at)), first_beyond(F.ceil(at)), F.max(at - F.floor(at))).alias(name)
+            for name, at in ((name, place(F.col("_n"))) for name, place in places.items())
+        ]
+    )
+
+
+def between(low: Column, high: Column, part: Column) -> Column:
+    return F.when((part == 0) | (low == high), low).otherwise(low + part * (high - low))
+
+
 def quantiles(
     df: DataFrame, by: list[str], x: str, probs: dict[str, float], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -54,27 +86,40 @@ def quantiles(
     Missing values are left out; a group without values gets NULLs. With no
     ``by`` the result is one row.
     """
+    places = {name: (lambda n, p=p: F.lit(p) * (n - 1)) for name, p in probs.items()}
+    return _at_places(df, by, x, places, lambda rows: percentiles(rows, by, "_v", probs), group_rows)
+
+
+def hinges(df: DataFrame, by: list[str], x: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row per group that has values: its median and hinges, ``q1`` and ``q3``."""
+    return _at_places(df, by, x, HINGES, lambda rows: ranked(rows, by, HINGES), group_rows)
+
+
+def _at_places(
+    df: DataFrame, by: list[str], x: str, places: dict[str, Place], plain: Callable[[DataFrame], DataFrame], group_rows: int
+) -> DataFrame:
+    """``plain`` for groups that fit a task, rounds of counts for the others."""
     every = df.select(*by, number(x).alias("_v"))
     if not has_large_group(df, by, group_rows):
-        return percentiles(every, by, "_v", probs)
+        return plain(every)
     rows = every.filter(F.col("_v").isNotNull())
     sizes = rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     large = cut(sizes.filter(F.col("_n") > group_rows))
     if large.isEmpty():
-        return percentiles(every, by, "_v", probs)
-    found = _refine(rows, large, by, probs)
+        return plain(every)
+    found = _refine(rows, large, by, places)
     if not by:
         return found
     small = key_join(every, large.select(*by), by, "left_anti", small=fits_broadcast(large))
-    return percentiles(small, by, "_v", probs).unionByName(found)
+    return plain(small).unionByName(found)
 
 
-def _refine(rows: DataFrame, large: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles of the groups in ``large`` (keys, ``_n``, ``_lo``, ``_hi``)."""
+def _refine(rows: DataFrame, large: DataFrame, by: list[str], places: dict[str, Place]) -> DataFrame:
+    """Values at places of the groups in ``large`` (keys, ``_n``, ``_lo``, ``_hi``)."""
     ranks = F.array(
         *[
-            F.struct(F.lit(name).alias("_q"), F.lit(side).alias("_side"), edge(F.lit(p) * (F.col("_n") - 1)).cast("long").alias("_k"))
-            for name, p in probs.items()
+            F.struct(F.lit(name).alias("_q"), F.lit(side).alias("_side"), edge(place(F.col("_n"))).cast("long").alias("_k"))
+            for name, place in places.items()
             for side, edge in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
@@ -115,10 +160,10 @@ def _refine(rows: DataFrame, large: DataFrame, by: list[str], probs: dict[str, f
         )
         targets = cut(targets.filter(F.col("_lo") >= F.col("_hi")).select(*narrowed.columns).unionByName(narrowed))
     aggs = []
-    for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_n") - 1)
+    for name, place in places.items():
+        pos = place(F.col("_n"))
         low = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "lo"), F.col("_lo")))
         high = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "hi"), F.col("_lo")))
         part = F.max(pos - F.floor(pos))
-        aggs.append(F.when(part == 0, low).otherwise(low + part * (high - low)).alias(name))
+        aggs.append(between(low, high, part).alias(name))
     return targets.groupBy(*by).agg(*aggs)

@@ -1,25 +1,20 @@
 """Keyed operators for tables in which one key may hold much of the rows.
 
-A shuffle by key sends all rows of a key to one task. ``split_heavy`` counts the
-keys (combined before the shuffle) and separates the rows of heavy keys. What is
-needed about a heavy key is small and goes to the rows by broadcast; the other
-rows are shuffled as usual. The number of heavy keys is bounded by arithmetic:
-fewer than ``HEAVY_PARTS`` keys can each hold more than ``1 / HEAVY_PARTS`` of
-the rows. Where there are none, adaptive execution finds the broadcast empty and
-drops that branch together with its scan.
+A window by key sends all rows of a key to one task. A join need not: adaptive
+execution reads a partition that one key fills in several tasks, as long as both
+sides of the join come straight from their own shuffle. A grouped table does not
+when it is joined on its grouping keys, since its partitioning is used again. So
+the joins here carry the hash of the keys as one more key: a grouped side is
+shuffled once more, one row per key, and the rows can be split.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_PARTS = 100_000
-# Keys of fewer rows than this fit one task whatever their share.
-HEAVY_ROWS = 100_000
-
 
 def key_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = True, small: bool = False
@@ -37,48 +32,33 @@ def key_join(
     return joined if how in ("left_semi", "left_anti") else joined.drop(*other.values())
 
 
-def group_sizes(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join to a table with at most one row per key, whose partitions adaptive execution can split on the left.
 
-def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with more than ``1 / HEAVY_PARTS`` of all rows, and more than ``HEAVY_ROWS``."""
-    sizes = group_sizes(df, keys, "_size")
-    total = sizes.agg(F.sum("_size")).scalar()
-    heavy = sizes.filter((F.col("_size") > F.lit(HEAVY_ROWS)) & (F.col("_size") * F.lit(HEAVY_PARTS) > total))
-    return heavy.select(*keys)
+    Equal keys have equal hashes only within a type: keys whose types differ stay out of the hash.
+    """
+    alike = [k for k in keys if left.schema[k].dataType == right.schema[k].dataType]
+    if not alike:
+        return key_join(left, right, keys, how, null_safe)
+    hashed = F.xxhash64(*alike)
+    joined = key_join(left.withColumn("_hash", hashed), right.withColumn("_hash", hashed), [*keys, "_hash"], how, null_safe)
+    return joined.drop("_hash")
 
 
-def split_heavy(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Heavy keys, the rows that have them, and the other rows. Missing keys count as a key."""
-    heavy = heavy_keys(df, keys)
-    return heavy, key_join(df, heavy, keys, "left_semi", small=True), key_join(df, heavy, keys, "left_anti", small=True)
+def group_sizes(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
 def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """Add aggregates of a row's group to the row (output name -> aggregate)."""
-    _, spread, rest = split_heavy(df, keys)
-    figures = spread.groupBy(*keys).agg(*[v.alias(name) for name, v in values.items()])
-    window = Window.partitionBy(*keys)
-    return key_join(spread, figures, keys, small=True).unionByName(
-        rest.withColumns({name: v.over(window) for name, v in values.items()})
-    )
-
-
-def left_join_unique(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
-    """Left join to a table with at most one row per key."""
-    heavy, spread, rest = split_heavy(left, keys)
-    needed = key_join(right, heavy, keys, "left_semi", small=True)
-    return key_join(spread, needed, keys, "left", null_safe, small=True).unionByName(
-        key_join(rest, right, keys, "left", null_safe)
-    )
+    """Add aggregates of a row's group to the row (output name -> aggregate). Missing keys count as a key."""
+    figures = df.groupBy(*keys).agg(*[v.alias(name) for name, v in values.items()])
+    return split_join(df, figures, keys, "inner", null_safe=True)
 
 
 def filter_by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str, null_safe: bool = True) -> DataFrame:
-    """Semi or anti join (``how``); the right side is reduced to distinct keys first."""
-    heavy, spread, rest = split_heavy(left, keys)
-    there = right.select(*keys).distinct()
-    needed = key_join(there, heavy, keys, "left_semi", small=True)
-    return key_join(spread, needed, keys, how, null_safe, small=True).unionByName(
-        key_join(rest, there, keys, how, null_safe)
-    )
+    """Semi or anti join (``how``).
+
+    Adaptive execution cannot split the right side of these joins, so its keys are made distinct first, combined
+    before the shuffle.
+    """
+    return split_join(left, right.select(*keys).distinct(), keys, how, null_safe)

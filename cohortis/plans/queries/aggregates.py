@@ -334,28 +334,25 @@ def profile(t):
     return rounded(agg.profile(v, list(_PROFILE)))
 
 
-@query(
-    """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median,
-      quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
-    b AS (SELECT *, o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS within FROM orders JOIN q USING (o_orderpriority))
-    SELECT o_orderpriority, count(*)::BIGINT AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
-    round(any_value(q3), 6) AS q3, min(o_totalprice) FILTER (WHERE within) AS whisker_low,
-    max(o_totalprice) FILTER (WHERE within) AS whisker_high, count(*) FILTER (WHERE NOT within)::BIGINT AS n_outliers
-    FROM b GROUP BY 1"""
-)
+def _box_sql(table: str, group: str, value: str) -> str:
+    """Hinges are means of the one or two values at depth d from either end."""
+    return f"""WITH v AS (SELECT {group} AS g, {value} AS x, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS r,
+      count(*) OVER (PARTITION BY {group}) AS n FROM {table} WHERE {value} IS NOT NULL),
+    d AS (SELECT *, floor((n + 3) / 2) / 2 AS d FROM v),
+    q AS (SELECT g, avg(x) FILTER (WHERE r IN (floor(d), ceil(d))) AS q1, median(x) AS median,
+      avg(x) FILTER (WHERE n + 1 - r IN (floor(d), ceil(d))) AS q3 FROM d GROUP BY g),
+    b AS (SELECT *, x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS within FROM v JOIN q USING (g))
+    SELECT g AS {group}, count(*)::BIGINT AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
+    round(any_value(q3), 6) AS q3, min(x) FILTER (WHERE within) AS whisker_low, max(x) FILTER (WHERE within) AS whisker_high,
+    count(*) FILTER (WHERE NOT within)::BIGINT AS n_outliers FROM b GROUP BY g"""
+
+
+@query(_box_sql("orders", "o_orderpriority", "o_totalprice"))
 def box_stats(t):
     return rounded(agg.box_stats(t.orders, ["o_orderpriority"], "o_totalprice"))
 
 
-@query(
-    """WITH v AS (SELECT user_id, event_type, value FROM events),
-    q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY 1),
-    b AS (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS within FROM v JOIN q USING (event_type))
-    SELECT event_type, count(*)::BIGINT AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
-    round(any_value(q3), 6) AS q3, min(value) FILTER (WHERE within) AS whisker_low,
-    max(value) FILTER (WHERE within) AS whisker_high, count(*) FILTER (WHERE NOT within)::BIGINT AS n_outliers
-    FROM b GROUP BY 1"""
-)
+@query(_box_sql("events", "event_type", "value"))
 def box_stats_large_groups(t):
     """The same operator with every group treated as too large for one task."""
     return rounded(agg.box_stats(t.events, ["event_type"], "value", group_rows=500))

@@ -54,7 +54,7 @@ AGES = [
 
 
 @pytest.mark.parametrize(("birth", "mode", "ages"), AGES)
-def test_ages(spark, rows, heavy, birth, mode, ages):
+def test_ages(spark, rows, birth, mode, ages):
     df = spark.createDataFrame([("k", birth, y) for y in (2011, 2012, 2015)], "id string, birth int, start_int int")
     assert [r[0] for r in rows(panel.with_age(df, ["id"], gap_mode=mode).orderBy("start_int"), "yearsAlive")] == sorted(map(float, ages))
 
@@ -68,15 +68,7 @@ def test_ages_without_gap_agree(spark, rows):
 DUPLICATES = [("k1", "0"), ("k1", "1"), ("k2", "0"), ("k3", "0"), ("k3", None), ("k4", "PD"), ("k4", "0"), ("k5", "0"), ("k5", "0")]
 
 
-@pytest.fixture(params=[1, 3, 100_000])
-def heavy(request, monkeypatch):
-    """No floor for heavy keys, and a varying bound: none, some or all keys are heavy."""
-    monkeypatch.setattr(skew, "HEAVY_PARTS", request.param)
-    monkeypatch.setattr(skew, "HEAVY_ROWS", 0)
-    return request.param
-
-
-def test_dead_duplicates(spark, rows, heavy):
+def test_dead_duplicates(spark, rows):
     df = spark.createDataFrame(DUPLICATES, "id string, s string")
     assert rows(panel.drop_dead_duplicates(df, ["id"], "s")) == [("k1", "1"), ("k2", "0"), ("k3", None), ("k4", "PD")]
 
@@ -89,8 +81,8 @@ def test_audit_and_tags(spark, rows):
     assert tags["k2"] == (1, False) and tags["k5"] == (2, True) and tags[None] == (2, True)
 
 
-def test_group_values_whatever_is_heavy(spark, heavy):
-    random.seed(heavy)
+def test_group_values_of_a_hot_key(spark):
+    random.seed(3)
     data = [(random.choice(["hot"] * 20 + ["a", "b", "c", None]), i) for i in range(300)]
     df = spark.createDataFrame(data, "k string, v int").repartition(5)
     got = skew.with_group_values(df, ["k"], {"n": F.count(F.lit(1)), "total": F.sum("v"), "first": F.min("v")}).collect()
@@ -101,25 +93,66 @@ def test_group_values_whatever_is_heavy(spark, heavy):
     assert sorted((str(r.k), r.v, r.n, r.total, r["first"]) for r in got) == sorted(expected)
 
 
-def test_unique_join_whatever_is_heavy(spark, heavy):
+def test_unique_join_of_a_hot_key(spark):
     data = [("hot" if i % 3 else random.choice(["a", "b", None]), i) for i in range(200)]
     df = spark.createDataFrame(data, "k string, v int").repartition(4)
     dim = {"a": 1, "hot": 2, None: 3, "zz": 4}
     other = spark.createDataFrame(list(dim.items()), "k string, d int")
     for safe in (True, False):
         want = sorted((v, str(dim.get(k) if k is not None or safe else None)) for k, v in data)
-        assert sorted((r.v, str(r.d)) for r in skew.left_join_unique(df, other, ["k"], safe).collect()) == want
+        assert sorted((r.v, str(r.d)) for r in skew.split_join(df, other, ["k"], "left", safe).collect()) == want
     assert joins.semi_join(df, other, ["k"]).count() + joins.anti_join(df, other, ["k"]).count() == 200
     assert joins.anti_join(df, other, ["k"]).filter("k <> 'b'").count() == 0
 
 
-def test_heavy_keys_are_few(spark, heavy):
-    df = spark.range(2000).select(F.floor(F.sqrt("id")).alias("k"))
-    assert skew.heavy_keys(df, ["k"]).count() < heavy
+def test_keys_of_different_types_meet(spark):
+    left = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    right = spark.createDataFrame([(1, "p")], "k bigint, w string")
+    assert sorted((r.v, r.w) for r in skew.split_join(left, right, ["k"]).collect()) == [("x", "p"), ("y", None)]
+
+
+HOT_KEY = {
+    "lookup": lambda df, dim: joins.lookup(df, dim, "k", "d"),
+    "grouped": lambda df, dim: joins.left_join(df, dim.groupBy("k").agg(F.sum("d").alias("d")), ["k"], unique=True),
+    "fan_out": lambda df, dim: joins.fan_out_join(dim, df, ["k"]),
+    "semi": lambda df, dim: joins.semi_join(df, dim, ["k"]),
+    "anti": lambda df, dim: joins.anti_join(df, dim.filter("k > 50"), ["k"]),
+    "tags": lambda df, dim: panel.tag_duplicates(df, ["k"]),
+    "dead": lambda df, dim: panel.drop_dead_duplicates(df, ["k"], "s"),
+    "age": lambda df, dim: panel.with_age(df, ["k"]),
+    "mirrored": lambda df, dim: panel.with_age(df, ["k"], gap_mode="mirrored"),
+}
+
+
+@pytest.mark.parametrize("name", HOT_KEY)
+def test_a_hot_key_is_split(spark, tmp_path, name):
+    """Nine of ten rows have one key: its partition is read by several tasks, and the rows are all there."""
+    folder = str(tmp_path)
+    hot = F.when(F.col("id") % 10 > 0, F.lit(0)).otherwise(F.col("id") % 97).cast("int")
+    spark.range(0, 60_000, 1, 12).select(
+        hot.alias("k"), F.lit("PD").alias("s"), F.lit(2000).alias("birth"), (F.col("id") % 9 + 2000).cast("int").alias("start_int"),
+        F.sha2(F.col("id").cast("string"), 256).alias("fill"),
+    ).write.parquet(f"{folder}/rows")
+    spark.range(97).select(F.col("id").cast("int").alias("k"), F.col("id").alias("d")).write.parquet(f"{folder}/dim")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = HOT_KEY[name](spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/dim"))
+        assert len(out.collect()) == out.count() >= 54_000
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "skew=true" in plan, plan
 
 
-def test_light_tables_have_no_heavy_keys(spark):
-    assert skew.heavy_keys(spark.range(1000).select(F.lit(1).alias("k")), ["k"]).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -130,7 +163,7 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", [{}, {"unique": True}, {"small": True}])
-def test_left_join_nulls(sides, rows, heavy, how):
+def test_left_join_nulls(sides, rows, how):
     l, r = sides
     assert rows(joins.left_join(l, r, ["k"], null_safe=True, **how), "v", "n") == [("w", None), ("x", 10), ("y", 11), ("z", 11)]
     assert rows(joins.left_join(l, r, ["k"], **how), "v", "n") == [("w", None), ("x", None), ("y", 11), ("z", 11)]
@@ -243,10 +276,23 @@ def test_box_stats(spark, limit):
     df = spark.createDataFrame([("a", x) for x in xs] + [("a", None), ("b", 5.0)], "g string, x double")
     got = {r.g: r for r in agg.box_stats(df, ["g"], "x", limit).collect()}
     a = got["a"]
-    assert (a.n, a.q1, a["median"], a.q3, a.whisker_low, a.whisker_high, a.n_outliers) == (12, 3.75, 6.5, 9.25, 1.0, 11.0, 1)
+    assert (a.n, a.q1, a["median"], a.q3, a.whisker_low, a.whisker_high, a.n_outliers) == (12, 3.5, 6.5, 9.5, 1.0, 11.0, 1)
     assert (got["b"].whisker_low, got["b"].n_outliers) == (5.0, 0)
 
 
+@pytest.mark.parametrize("limit", [10_000, 2])
+def test_hinges(spark, limit):
+    """1, 2, 10, 20 and every other number of values up to nine, by halves that share the middle of an odd number."""
+    sets = {"four": [1.0, 2.0, 10.0, 20.0], "inf": [1.0, 2.0, float("inf"), float("inf")]}
+    sets |= {f"n{n}": [float(i * i) for i in range(n)] for n in range(1, 10)}
+    df = spark.createDataFrame([(g, x) for g, xs in sets.items() for x in xs] + [("n3", float("nan")), ("none", None)], "g string, x double")
+    got = {r.g: (r.q1, r["median"], r.q3) for r in quantiles.hinges(df, ["g"], "x", limit).collect()}
+    assert got["four"] == (1.5, 6.0, 15.0) and got["inf"][2] == float("inf")
+    for g, xs in sets.items():
+        half = (len(xs) + 1) // 2
+        assert got[g] == (statistics.median(xs[:half]), statistics.median(xs), statistics.median(xs[-half:])), g
+
+
 def test_class_stats(spark, rows):
     df = spark.createDataFrame([(0, 1.0), (0, 0.0), (3, 1.0), (4, 1.0), (None, 1.0)], "c int, y double")
     assert rows(agg.pooled_class_stats(df, "c", "y", {"low": [0, 1, 2], "high": [3, 4]}), "pool", "n", "mean") == [("high", 2, 1.0), ("low", 2, 0.5)]
