@@ -43,10 +43,18 @@ def to_cells(df: DataFrame, y: str, terms: list[str], group: str | None = None)
 
 @dataclass
 class Design:
-    """Named numeric columns of a model; a factor gives one 0/1 column per level but the first."""
+    """Named numeric columns of a model; a factor gives one 0/1 column per level but the first.
+
+    Products of two columns of a factor are 0, so sums over them are never asked of Spark.
+    """
 
     names: list[str] = field(default_factory=list)
     exprs: list[Column] = field(default_factory=list)
+    factor_of: list[str | None] = field(default_factory=list)
+
+    def exclusive(self, i: int, j: int) -> bool:
+        """Whether columns ``i`` and ``j`` are different levels of one factor."""
+        return i != j and self.factor_of[i] is not None and self.factor_of[i] == self.factor_of[j]
 
     @classmethod
     def of(cls, cells: DataFrame, terms: list[str], factors: list[str] = ()) -> Design:
@@ -55,11 +63,13 @@ class Design:
             if t not in factors:
                 out.names.append(t)
                 out.exprs.append(F.col(t).cast("double"))
+                out.factor_of.append(None)
                 continue
             levels = in_order([r[0] for r in cells.select(t).distinct().collect()])
             for level in levels[1:]:
                 out.names.append(f"{t}[{level}]")
                 out.exprs.append((F.col(t) == F.lit(level)).cast("double"))
+                out.factor_of.append(t)
         return out
 
     def apply(self, cells: DataFrame, keep: list[str]) -> DataFrame:
@@ -73,9 +83,14 @@ class Design:
         rows = self.apply(cells, ["w"])
         xs = [F.col(f"x{j}") for j in range(p)]
         w = F.col("w")
-        centre = rows.agg(*[(F.sum(w * x) / F.sum("w")).alias(f"m{j}") for j, x in enumerate(xs)]).first()
-        dev = [x - F.lit(centre[f"m{j}"] or 0.0) for j, x in enumerate(xs)]
-        cross = rows.agg(*[F.sum(w * dev[i] * dev[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]).first()
+        means = [(F.sum(w * x) / F.sum("w")).alias(f"m{j}") for j, x in enumerate(xs)]
+        centre = rows.agg(F.sum("w").alias("w"), *means).first()
+        total, mid = centre["w"] or 0.0, [centre[f"m{j}"] or 0.0 for j in range(p)]
+        dev = [x - F.lit(m) for x, m in zip(xs, mid)]
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        asked = [F.sum(w * dev[i] * dev[j]).alias(f"c{i}_{j}") for i, j in pairs if not self.exclusive(i, j)]
+        cross = rows.agg(*asked).first().asDict()
+        cross |= {f"c{i}_{j}": -total * mid[i] * mid[j] for i, j in pairs if self.exclusive(i, j)}
         kept: list[int] = []
         for j in range(p):
             own = cross[f"c{j}_{j}"] or 0.0
@@ -86,7 +101,7 @@ class Design:
                 left = own - float(towards @ np.linalg.solve(among, towards))
             if own > 0 and left > tol * own:
                 kept.append(j)
-        design = Design([self.names[j] for j in kept], [self.exprs[j] for j in kept])
+        design = Design(*([column[j] for j in kept] for column in (self.names, self.exprs, self.factor_of)))
         return design, [self.names[j] for j in range(p) if j not in kept]
 
 
@@ -125,7 +140,7 @@ class GlmFit:
         info = np.zeros((p, p))
         for i in range(p):
             for j in range(i, p):
-                info[i, j] = info[j, i] = sums[f"i{i}_{j}"]
+                info[i, j] = info[j, i] = sums.get(f"i{i}_{j}", 0.0)
         self.n = int(round(sums["n"]))
         self.df_residual, self.df_null = self.n - p, self.n - 1
         self.deviance, self.loglik = sums["deviance"], sums["loglik"]
@@ -168,8 +183,8 @@ class GlmFit:
         return df.withColumn(name, inv_logit(linear_predictor(self.coefs.tolist(), self.design.exprs)))
 
 
-def _summaries(x: DataFrame, coefs: list[float]):
-    """Information matrix, deviance, likelihood and residual sums at the estimates, in one pass."""
+def _summaries(x: DataFrame, coefs: list[float], design: Design) -> dict[str, float]:
+    """Information matrix without its zeros, deviance, likelihood and residual sums at the estimates, in one pass."""
     p = len(coefs)
     xs = [F.lit(1.0), *[F.col(f"x{j}") for j in range(p - 1)]]
     eta = linear_predictor(coefs, xs[1:])
@@ -193,8 +208,13 @@ def _summaries(x: DataFrame, coefs: list[float]):
         F.sum(F.try_divide(w * r * r, v)).alias("pearson"),
         F.sum(F.try_divide(w * r * r, v * v)).alias("working"),
     ]
-    aggs += [F.sum(w * v * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"i{i}_{j}") for i in range(p) for j in range(i, p)]
-    return rows.agg(*aggs).first()
+    aggs += [
+        F.sum(w * v * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"i{i}_{j}")
+        for i in range(p)
+        for j in range(i, p)
+        if not (i and design.exclusive(i - 1, j - 1))
+    ]
+    return rows.agg(*aggs).first().asDict()
 
 
 def fit_cells(
@@ -206,8 +226,8 @@ def fit_cells(
     if design.names:
         inputs = [f"x{j}" for j in range(len(design.names))]
         # The solver wants one row per covariate pattern: its starting values fail on heavy all-0 and all-1 rows.
-        rates = x.groupBy(*inputs).agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
-        rates = rates.persist()
+        rates = cells.groupBy(*terms).agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
+        rates = design.apply(rates, ["w", "y"]).persist()
         rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rates)
         glr = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol="y", weightCol="w", tol=1e-10, maxIter=max_iter
@@ -221,7 +241,7 @@ def fit_cells(
         rate = s["k"] / s["n"]
         converged = 0 < rate < 1
         coefs = np.array([math.log(rate / (1 - rate)) if converged else math.copysign(math.inf, rate - 0.5)])
-    return GlmFit(cells.sparkSession, family, y, design, coefs, _summaries(x, coefs.tolist()), converged, aliased)
+    return GlmFit(cells.sparkSession, family, y, design, coefs, _summaries(x, coefs.tolist(), design), converged, aliased)
 
 
 def glm_logit(df: DataFrame, y: str, terms: list[str], factors: list[str] = (), family: str = "binomial") -> GlmFit:
