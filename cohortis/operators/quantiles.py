@@ -3,9 +3,11 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one task.
 That is right while groups are small; a counting pass finds the groups that are
 not. For those the order statistics are narrowed down by rounds of bucket counts:
-each round counts the rows of the current value window in equal-width buckets,
-picks the bucket holding the wanted rank and shrinks the window to the smallest
-and largest value seen in it, until one value is left. A round shuffles at most
+each round counts the rows of the current value window in buckets, picks the
+bucket holding the wanted rank and shrinks the window to the smallest and largest
+value seen in it, until one value is left. Buckets are of equal width in the
+logarithm of the value until a window spans less than a factor of two, then in
+the value itself; so the rounds are few for any values. A round shuffles at most
 ``BUCKETS`` counts per window.
 """
 
@@ -74,6 +76,11 @@ def ranked(df: DataFrame, by: list[str], places: dict[str, Place]) -> DataFrame:
     )
 
 
+def magnitude(x: Column) -> Column:
+    """The logarithm of a number's size with its sign: grows with the number, from the smallest double to the largest."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + F.lit(1076.0)))
+
+
 def between(low: Column, high: Column, part: Column) -> Column:
     return F.when((part == 0) | (low == high), low).otherwise(low + part * (high - low))
 
@@ -135,10 +142,13 @@ def _refine(rows: DataFrame, large: DataFrame, by: list[str], places: dict[str,
         windows = cut(open_windows.select(*by, "_lo", "_hi").distinct())
         keyed = rows.withColumn("_one", F.lit(1))
         hit = key_join(keyed, windows.withColumn("_one", F.lit(1)), [*by, "_one"], small=fits_broadcast(windows))
-        # Halved and clipped, so that neither infinite values nor wide windows overflow. The largest value
-        # always takes the last bucket, hence every round splits its window.
-        here, low, high = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / 2 for c in ("_v", "_lo", "_hi"))
-        at = F.floor(F.coalesce(F.try_divide(here - low, high - low), F.lit(0.0)) * F.lit(float(BUCKETS)))
+        # Clipped, so that infinite values do not overflow. The largest value always takes the last bucket, hence
+        # every round splits its window.
+        here, low, high = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) for c in ("_v", "_lo", "_hi"))
+        narrow = (F.signum(low) * F.signum(high) > 0) & (F.greatest(F.abs(low), F.abs(high)) / 2 <= F.least(F.abs(low), F.abs(high)))
+        place_in = F.when(narrow, F.try_divide(here - low, high - low)).otherwise(
+            F.try_divide(magnitude(here) - magnitude(low), magnitude(high) - magnitude(low)))
+        at = F.floor(F.coalesce(place_in, F.lit(0.0)) * F.lit(float(BUCKETS)))
         bucket = F.when(F.col("_v") == F.col("_hi"), F.lit(BUCKETS - 1).cast("long")).otherwise(F.least(at, F.lit(BUCKETS - 1)))
         counts = (
             hit.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))

@@ -69,13 +69,14 @@ def census_intervals(
     return with_age(long, ["seedID"], "BirthYear", "start_int", gap_mode).drop("BirthYear")
 
 
-def year_pair(sheet: DataFrame, start: int, policy: str = "missing_is_dead") -> DataFrame:
+def year_pair(sheet: DataFrame, start: int, policy: str = "missing_is_dead", end: int | None = None) -> DataFrame:
     """The census with ``alive_start``, ``alive_end``, the outcome of survivors-to-be, and ages.
 
-    ``outcome`` is missing for individuals not alive at the start.
+    The pair ends in ``end``, by default the year after ``start``. ``outcome`` is missing for individuals not alive at
+    the start.
     """
     census = clean_census(sheet)
-    a, b = f"{start % 100:02d}", f"{(start + 1) % 100:02d}"
+    a, b = f"{start % 100:02d}", f"{(start + 1 if end is None else end) % 100:02d}"
     both = census.withColumns({
         "alive_start": recode_by_policy(f"Stat{a}", policy),
         "alive_end": recode_by_policy(f"Stat{b}", policy),

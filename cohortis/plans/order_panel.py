@@ -36,10 +36,16 @@ def yy(year: int) -> str:
 
 
 def wide_panel(orders: DataFrame, years: tuple[int, ...] = YEARS) -> DataFrame:
-    """One row per customer; a single aggregation, so a customer with very many orders is no burden."""
+    """One row per customer; a single aggregation, so a customer with very many orders is no burden.
+
+    An order of a year that is not in ``years`` would be missing from the panel, so it is an error; one without a date
+    belongs to no year.
+    """
+    year = F.year("o_orderdate")
+    outside = F.raise_error(F.concat(F.lit("order outside the years of the panel: "), year.cast("string"))).cast("int")
     o = orders.select(
         F.col("o_custkey").alias("id"),
-        F.year("o_orderdate").alias("_y"),
+        F.when(year.isNull() | year.isin(*years), year).otherwise(outside).alias("_y"),
         F.substring("o_orderpriority", 1, 1).try_cast("int").alias("_p"),
         F.col("o_orderstatus").alias("_s"),
     )

@@ -71,7 +71,11 @@ def _range_cdf(w: np.ndarray, k: int) -> np.ndarray:
 
 
 def tukey_cdf(q: float, k: int, df: float) -> float:
-    """Studentised range of ``k`` means with ``df`` degrees of freedom."""
+    """Studentised range of ``k`` means with ``df`` degrees of freedom.
+
+    Beyond 25,000 degrees of freedom the scale counts as known, as usual for this function. Values step there, measured
+    against the full integral by at most 1.3e-5 for two means, 3.6e-5 for five, 9.4e-5 for 20 and 2.1e-4 for 100.
+    """
     if q <= 0:
         return 0.0
     if df > 25000:

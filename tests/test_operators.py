@@ -262,6 +262,19 @@ def test_quantiles_with_buckets_of_two(spark, monkeypatch):
     assert quantiles.quantiles(df, [], "x", {"m": 0.5}, 5).first()["m"] == statistics.median(i * i for i in range(40))
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200])
+def test_quantiles_need_few_rounds(spark, monkeypatch, scale):
+    """Values over a hundred decades, of both signs or of one: two results are kept a round, and two before."""
+    kept = []
+    monkeypatch.setattr(quantiles, "cut", lambda df, cut=quantiles.cut: kept.append(1) or cut(df))
+    rng = np.random.default_rng(3)
+    xs = rng.choice([-1.0, 1.0] if scale == 1.0 else [1.0], 3000) * 10.0 ** rng.uniform(-50, 50, 3000) * scale
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    got = quantiles.quantiles(df, [], "x", {"q1": 0.25, "m": 0.5, "q3": 0.75}, 100).first()
+    assert list(got) == pytest.approx(list(np.quantile(xs, [0.25, 0.5, 0.75])), rel=1e-9)
+    assert (len(kept) - 2) / 2 <= 7
+
+
 def test_quantiles_with_extreme_values(spark):
     xs = [float("-inf"), -1.7e308, -1.0, 0.0, 5e-324, 1e-323, 2.0, 1.7e308, float("inf"), float("nan"), None]
     df = spark.createDataFrame([(x,) for x in xs], "x double")

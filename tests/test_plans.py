@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortis.plans import census, climate, environment
+from cohortis.plans.order_panel import wide_panel
 from cohortis.sources import schemas
 from cohortis.sources.tables import read_table, write_table
 
@@ -79,6 +80,18 @@ def test_year_pair_rates(sheet, rows):
     assert rows(census.survival_by(pair)) == [(0.8, 5, 4)]
     assert rows(census.survival_by(pair, ["VW"], {"leaves": "leaves", "age": "age"})) == [("p1", 1.0, 3, 3, 2.0, 1.0), ("p354", 0.5, 2, 1, 2.5, 3.0)]
     assert rows(pair.filter("SdlgNum = '2'"), "alive_start", "outcome") == [(0.0, None)]
+    # Over two years: of the five alive in 2018 one is alive in 2020.
+    assert rows(census.survival_by(census.year_pair(sheet, 2018, end=2020))) == [(0.2, 5, 1)]
+
+
+def test_orders_outside_the_years_of_the_panel(spark):
+    orders = spark.createDataFrame(
+        [(1, "1995-03-01", "1-URGENT", "F"), (1, None, "1-URGENT", "O"), (2, "2001-03-01", "5-LOW", "O")],
+        "o_custkey long, o_orderdate string, o_orderpriority string, o_orderstatus string",
+    ).withColumn("o_orderdate", F.to_timestamp("o_orderdate"))
+    assert wide_panel(orders).count() == 2
+    with pytest.raises(Exception, match="outside the years of the panel: 2002"):
+        wide_panel(orders.withColumn("o_orderdate", F.col("o_orderdate") + F.expr("interval 1 year"))).collect()
 
 
 @pytest.fixture(scope="module")
