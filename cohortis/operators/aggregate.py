@@ -68,6 +68,18 @@ def survival_rate(
     )
 
 
+def survival_rates(df: DataFrame, pairs: dict[str, tuple[str, str]], name: str = "pair") -> DataFrame:
+    """:func:`survival_rate` over all rows for several pairs of columns (label -> start, end), in one pass."""
+
+    def figures(label: str, start: str, end: str) -> Column:
+        alive = F.col(start) == 1
+        n_start, n_end = F.count_if(alive), F.count_if(alive & (F.col(end) == 1))
+        rate = F.try_divide(n_end.cast("double"), n_start)
+        return F.struct(F.lit(label).alias(name), rate.alias("rate"), n_start.alias("abund_start"), n_end.alias("abund_end"))
+
+    return df.agg(F.array(*[figures(k, *pair) for k, pair in pairs.items()]).alias("_pairs")).select(F.inline("_pairs"))
+
+
 def interval_survival(df: DataFrame, by: list[str] = ("interval",), survival: str = "survival") -> DataFrame:
     """Proportion survived and number of records per interval."""
     return df.groupBy(*by).agg(
@@ -175,10 +187,9 @@ def temperature_summary(
 
 
 def standardize(df: DataFrame, col: str, name: str) -> DataFrame:
-    """``(x - mean) / sd`` over all rows; the two figures enter as scalar subqueries."""
-    figures = df.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s"))
-    m, s = figures.select("m").scalar(), figures.select("s").scalar()
-    return df.withColumn(name, F.try_divide(F.col(col) - m, s))
+    """``(x - mean) / sd`` over all rows; the two figures enter as one scalar subquery."""
+    figures = df.agg(F.struct(F.avg(col).alias("m"), F.stddev_samp(col).alias("s")).alias("f")).scalar()
+    return df.withColumn(name, F.try_divide(F.col(col) - figures["m"], figures["s"]))
 
 
 # -- classes, profiles, boxes -------------------------------------------------

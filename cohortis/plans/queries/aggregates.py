@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -56,11 +55,7 @@ _PAIRS = ((1995, 1996), (1997, 1998), (1998, 1999), (1997, 1999))
     )
 )
 def cohort_rate_global(t):
-    p = panel(t)
-    one = [
-        agg.survival_rate(p, f"Stat{yy(a)}", f"Stat{yy(b)}").withColumn("pair", F.lit(f"{a}-{b}")) for a, b in _PAIRS
-    ]
-    return rounded(reduce(lambda x, y: x.unionByName(y), one))
+    return rounded(agg.survival_rates(panel(t), {f"{a}-{b}": (f"Stat{yy(a)}", f"Stat{yy(b)}") for a, b in _PAIRS}))
 
 
 @query(PAIR + f"SELECT transect, bin, {_RATE} FROM p WHERE s0 = 1 GROUP BY 1, 2")

@@ -227,6 +227,13 @@ def test_climate_summary(spark, rows):
     assert (big["median"], big["q1"], big["q3"], big["sd"]) == (p["median"], p["q1"], p["q3"], p["sd"])
 
 
+def test_survival_rates_of_several_pairs(spark):
+    df = spark.createDataFrame([(1, 1, 0), (1, 0, None), (0, 1, 1), (None, 1, 1)], "a int, b int, c int")
+    got = {r.pair: tuple(r)[1:] for r in agg.survival_rates(df, {"ab": ("a", "b"), "bc": ("b", "c"), "none": ("c", "a")}).collect()}
+    assert got == {"ab": (0.5, 2, 1), "bc": (2 / 3, 3, 2), "none": (0.0, 2, 0)}
+    assert agg.survival_rates(df.where("a = 5"), {"ab": ("a", "b")}).first() == ("ab", None, 0, 0)
+
+
 def test_standardize(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "x double")
     assert [r.z for r in agg.standardize(df, "x", "z").collect()] == [-1.0, 0.0, 1.0, None]
