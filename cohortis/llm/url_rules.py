@@ -14,7 +14,8 @@ SITE_RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-# Pattern rules: name, the literal tokens a match must contain, the pattern over the lower-cased url.
+# Pattern rules: name, literal tokens, the pattern over the lower-cased url. In every match each literal stands as a whole
+# token, with nothing but digits after it in that token; a literal the pattern leaves open on a side must not be given.
 PATTERN_RULES = (
     ("gambling-casino", "casino win", r"^[a-z]+://[^/?#]*\bcasino-win\b"),
     ("gambling-bets", "free bets", r"^[a-z]+://[^/?#]*\bfree-bets\b"),
@@ -22,14 +23,21 @@ PATTERN_RULES = (
     ("link-farm", "spam farm", r"^[a-z]+://[^/?#]*\bspam-farm\b"),
     ("tracker", "ads track", r"^[a-z]+://[^/?#]*\bads-track\b"),
     ("ad-server", "adserver", r"^[a-z]+://([^/?#]*\.)?adserver[0-9]*\."),
-    ("ad-path", "ads banner", r"^[a-z]+://[^?#]*/ads/[^?#]*banner"),
-    ("click", "click redirect", r"[?&]click=[^#]*redirect="),
+    ("ad-path", "ads", r"^[a-z]+://[^?#]*/ads/[^?#]*banner"),
+    ("click", "click", r"[?&]click=[^#]*redirect="),
     ("session", "phpsessid", r"[?&]phpsessid=[0-9a-f]{16,}"),
     ("adult", "xxx", r"^[a-z]+://([^/?#]*\.)?xxx[./-]"),
 )
 TOKEN = "([a-z0-9]+)"
 
 
+def _tokens(url: Column) -> Column:
+    """Distinct tokens of the lower-cased url, each also without the digits at its end."""
+    tokens = F.regexp_extract_all(F.lower(url), F.lit(TOKEN), F.lit(1))
+    bare = F.transform(tokens, lambda t: F.rtrim(t, F.lit("0123456789")))
+    return F.filter(F.array_distinct(F.concat(tokens, bare)), lambda t: t != "")
+
+
 def _parts(url: Column) -> tuple[Column, Column]:
     """Host with A-Z lower-cased, and path; both empty without ``://``."""
     at = F.locate("://", url)
@@ -59,7 +67,7 @@ def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     if not rules.where(F.size(F.filter(F.split("literals", " "), lambda x: x != "")) == 0).isEmpty():
         raise ValueError("a pattern rule needs a literal token")
     wanted = rules.select("name", "pattern", F.explode(F.split("literals", " ")).alias("token")).where("token <> ''")
-    held = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(TOKEN), F.lit(1)))).alias("token"))
+    held = urls.select(F.explode(_tokens(F.col("url"))).alias("token"))
     counts = held.join(small(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
     ranked = wanted.join(counts, "token", "left").select("name", "pattern", "token", F.coalesce("urls", F.lit(0)).alias("urls"))
     return (ranked.groupBy("name", "pattern").agg(F.min(F.struct("urls", "token")).alias("m"))
@@ -69,10 +77,11 @@ def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def matched_rules(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """``(key, rules)``: names of the pattern rules that match, for the urls that match any.
 
-    A url's distinct tokens fetch the rules indexed under them; only their patterns are run.
+    A url's distinct tokens, and those without their last digits, fetch the rules indexed under them; only their
+    patterns are run. A rule is tried on every url it can match if its literals are as ``PATTERN_RULES`` states.
     """
     index = small(rule_index(urls, rules))
-    tokens = urls.select(key, "url", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(TOKEN), F.lit(1)))).alias("token"))
+    tokens = urls.select(key, "url", F.explode(_tokens(F.col("url"))).alias("token"))
     fetched = tokens.join(index, "token").where(F.expr("rlike(lower(url), pattern)"))
     return fetched.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("rules"))
 

@@ -201,3 +201,19 @@ def test_rarest_token(spark):
     urls = spark.createDataFrame([("http://a.com/x",), ("http://b.com/y",), ("http://b.com/z",)], "url string")
     rules = spark.createDataFrame([("r", "b com", "b"), ("s", "com q", "q")], "name string, literals string, pattern string")
     assert {(r.token, r.name) for r in url_rules.rule_index(urls, rules).collect()} == {("b", "r"), ("q", "s")}
+
+
+def test_rules_reach_literals_inside_tokens(spark):
+    """Every pattern on every url, for urls whose literals have digits or letters beside them."""
+    r = random.Random(5)
+    pieces = ["adserver", "ads", "banner", "click=", "redirect=", "casino-win", "free-bets", "xxx", "phpsessid=", "0123456789abcdef", "1", "22", "a", "_",
+              ".", "/", "?", "&", "-", "#", "X.org/", "/ads/"]
+    urls = ["http://adserver1.foo.org/", "http://x.adserver007.net", "http://h.org/ads/top/banners/x", "http://h.org/ads/banner2.png",
+            "http://h.org/?click=1&autoredirect=x", "http://adserver1a.foo.org/", "http://h.org/ads2/banner"]
+    urls += ["http://" + "".join(r.choice(pieces) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    for extra in ([], ["http://h.org/ads/ads"] * 1, ["http://h.org/?click=1"] * 1):  # whichever literal is rarest
+        pages = spark.createDataFrame(list(enumerate(urls + extra)), "page_id long, url string")
+        got = {x.page_id: x.patterns for x in url_rules.judge(pages).collect()}
+        for i, u in enumerate(urls):
+            assert got[i] == ",".join(sorted(n for n, _, p in url_rules.PATTERN_RULES if re.search(p, u.lower(), re.A))), u
+    assert [got[i] for i in range(7)] == ["ad-server", "ad-server", "ad-path", "ad-path", "click", "", ""]
