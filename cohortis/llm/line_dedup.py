@@ -11,11 +11,18 @@ from .shared import pinned, small
 LEAST_WORDS = 3  # lines with fewer words are left alone
 NEAR_WORDS = 8  # lines from so many words on are also compared with one edit; shorter ones must be equal
 PLACES = 10**10  # more lines than a document can have
+# Characters of scripts that set no blanks between words; each counts as a word.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+BEYOND = r"[^\x00-\u0DFF]"  # all of them, cheaper to look for
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row_id, pos, norm, n)`` of the lines that are looked at: lower-cased, without blanks at the ends."""
-    lines = docs.select("doc_id", "row_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    """``(doc_id, row_id, pos, norm, n)`` of the lines that are looked at: lower-cased words with single blanks between."""
+    text = F.lower("text")
+    apart = F.regexp_replace(text, UNSPACED, " $1 ")
+    text = F.when(F.rlike(text, F.lit(BEYOND)), apart).otherwise(text)
+    text = F.regexp_replace(text, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " ")  # a single blank is left as it is
+    lines = docs.select("doc_id", "row_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = lines.select("doc_id", "row_id", "pos", F.trim("line").alias("norm"))
     blanks = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
     return lines.withColumn("n", blanks + 1).where(F.col("n") >= LEAST_WORDS)
@@ -96,9 +103,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with each text cut to its first-seen lines; ``n_lines`` and ``n_dropped`` are added.
 
-    Lines end at line feeds and are compared in lower case, without blanks at their ends; words stand between single
-    blanks. A line goes if an equal line stands earlier, in a
-    smaller doc_id or further up in the same document, or, from eight words on, if an earlier line differs by one word
+    Lines end at line feeds and are compared as lower-cased words. Words stand between runs of blanks, tabs, carriage
+    returns and form feeds; in scripts without blanks between words (``UNSPACED``) each character is a word. A line goes
+    if an equal line stands earlier, in a smaller doc_id or further up in the same document, or, from eight words on, if an earlier line differs by one word
     replaced, added or left out. A line goes for any earlier partner, one that goes itself too. Lines of fewer than
     three words stay. Null texts stay null and empty ones empty, with 0 dropped; rows with a null doc_id stay as they
     are. Rows that repeat a doc_id hold the same places: none of them is earlier. Other columns stay; an ``n_chars``

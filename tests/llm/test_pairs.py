@@ -185,6 +185,24 @@ def test_line_dedup_edges(spark):
         ("4", "a b c\nd e f", 0), ("4", "a b c\nd e f", 0), ("5", "z", 1), ("None", "a b c\na b c", 0)]
 
 
+def test_line_dedup_compares_words(spark):
+    """Lines equal but for the white space between their words, and lines of scripts without blanks."""
+    long = "a b c d e f g h i"
+    chinese, japanese, thai = "敏捷的棕色狐狸", "いろはにほへとちりぬるを", "สวัสดีครับ"
+    cases = [("a b c", "a  b c", True), ("a b c", "A b c\r", True), ("a b c", "a\tb\tc", True), ("a b c", "\t a b\f c ", True),
+             ("x\ty\tz", "x\ty\tz", True), (long, long.replace(" ", "  "), True), (long, long.replace(" ", "\t") + "\r", True),
+             (long, long.replace("e", "E\te"), True), (long, long.replace("e f", "x\ty"), False), ("a b c", "a bc", False),
+             (chinese, chinese, True), (chinese, " " + chinese + "\r", True), (chinese, chinese[2:], False), (thai, thai, True),
+             (japanese, japanese.replace("と", "ど"), True), (japanese, japanese.replace("とち", "どし"), False)]
+    docs = []
+    for k, (first, line, _) in enumerate(cases):  # two words of their own keep the cases apart
+        docs += [f"k{k} k{k} {first}\nq", f"k{k} k{k} {line}\nz"]
+    got = sorted(line_dedup.without_repeated_lines(table(spark, docs)).collect())
+    for k, (first, line, gone) in enumerate(cases):
+        assert (got[2 * k].text, got[2 * k].n_dropped) == (docs[2 * k], 0)
+        assert (got[2 * k + 1].text, got[2 * k + 1].n_dropped) == (("z", 1) if gone else (docs[2 * k + 1], 0)), (first, line)
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     word = lambda: f"t{r.randrange(400)}"
