@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, pii, secret_scan, url_rules
+from . import decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, packing, pii, secret_scan, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,3 +179,10 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_report(table(spark, folder, "documents"))
+
+
+@query()
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.packed_documents(table(spark, folder, "documents"), vocabulary)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
