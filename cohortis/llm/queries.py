@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, packing, pii, secret_scan, url_rules
+from . import conversations, decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, packing, pii, secret_scan, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,6 +181,11 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_report(table(spark, folder, "documents"))
 
 
+@query()
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(table(spark, folder, "conversations"))
+
+
 @query()
 def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
