@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, fingerprints, html_text, langid, line_dedup, mixing, neardup, packing, pii, secret_scan, url_rules
+from . import conversations, decontam, fingerprints, hard_negatives, html_text, langid, line_dedup, mixing, neardup, packing, pii, secret_scan, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,3 +191,8 @@ def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     packed = packing.packed_documents(table(spark, folder, "documents"), vocabulary)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query()
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
