@@ -136,13 +136,22 @@ def lm_glance(t):
     return rounded(first.glance().unionByName(second.glance()))
 
 
+# The limits of t with many degrees of freedom, from those of the normal distribution.
+_T_975 = "(z + (z ** 3 + z) / (4 * df) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * df ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * df ** 3))"
+
+
 @query(
-    """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
-    SELECT l_orderkey, l_quantity, round(a + b * l_quantity, 6) AS fitted FROM lineitem, f"""
+    f"""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
+      regr_count(l_extendedprice, l_quantity)::DOUBLE AS n, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy,
+      regr_sxy(l_extendedprice, l_quantity) AS sxy, regr_avgx(l_extendedprice, l_quantity) AS mx FROM lineitem),
+    g AS (SELECT *, n - 2 AS df, sqrt((syy - b * sxy) / (n - 2)) AS sigma, 1.959963984540054::DOUBLE AS z FROM f),
+    q AS (SELECT l_orderkey, l_quantity, a + b * l_quantity AS fitted, sigma * sqrt(1 / n + (l_quantity - mx) * (l_quantity - mx) / sxx) AS se, {_T_975} AS reach FROM lineitem, g)
+    SELECT l_orderkey, l_quantity, round(fitted, 6) AS fitted, round(se, 4) AS std_error, round(fitted - reach * se, 3) AS conf_low, round(fitted + reach * se, 3) AS conf_high FROM q"""
 )
 def lm_fitted(t):
     fit = linear.lm(t.lineitem, "l_extendedprice", "l_quantity")
-    return rounded(linear.lm_fitted(t.lineitem.select("l_orderkey", "l_quantity"), fit))
+    out = linear.lm_fitted(t.lineitem.select("l_orderkey", "l_quantity"), fit)
+    return out.withColumns({c: F.round(c, d) for c, d in (("fitted", 6), ("std_error", 4), ("conf_low", 3), ("conf_high", 3))})
 
 
 # -- classes -------------------------------------------------------------------
@@ -220,6 +229,42 @@ def glm_factor(t):
     return rounded(glm.glm_logit(returned(t), "y", ["class"], ["class"]).tidy())
 
 
+def _absorbed_sql(steps: int = 9) -> str:
+    """Newton steps, one after another: level effects as a table, the slope on discount by its Schur complement."""
+    out = """, cl AS MATERIALIZED (SELECT supplier AS l, discount AS x, sum(y) AS k, count(*)::DOUBLE AS n FROM s GROUP BY 1, 2),
+  a0 AS MATERIALIZED (SELECT l, ln(sum(k) / (sum(n) - sum(k))) AS al, 0.0::DOUBLE AS b FROM cl GROUP BY 1)"""
+    for i in range(steps):
+        out += f""",
+  s{i} AS MATERIALIZED (SELECT l, any_value(al) AS al, any_value(b) AS b, sum(n * m * (1 - m)) AS a, sum(k - n * m) AS g, sum(n * m * (1 - m) * x) AS bx, sum((k - n * m) * x) AS h,
+    sum(n * m * (1 - m) * x * x) AS c FROM (SELECT *, 1 / (1 + exp(-(al + b * x))) AS m FROM cl JOIN a{i} USING (l)) GROUP BY l),
+  d{i} AS MATERIALIZED (SELECT sum(h - bx * g / a) / sum(c - bx * bx / a) AS db, sum(c - bx * bx / a) AS schur FROM s{i}),
+  a{i + 1} AS MATERIALIZED (SELECT l, al + (g - bx * db) / a AS al, b + db AS b FROM s{i}, d{i})"""
+    last = steps - 1
+    return out + f""",
+  z AS (SELECT s{last}.*, schur FROM s{last}, d{last}), z0 AS (SELECT al AS al0, a AS aa0, bx / a AS q0 FROM z ORDER BY l LIMIT 1),
+  e AS (SELECT CASE WHEN al = al0 AND a = aa0 THEN '(Intercept)' ELSE 'supplier[' || l || ']' END AS term, CASE WHEN al = al0 AND a = aa0 THEN al ELSE al - al0 END AS estimate,
+    sqrt(CASE WHEN al = al0 AND a = aa0 THEN 1 / a + q0 * q0 / schur ELSE 1 / a + 1 / aa0 + power(bx / a - q0, 2) / schur END) AS se FROM z, z0
+    UNION ALL SELECT 'discount', any_value(b), sqrt(1 / any_value(schur)) FROM z)
+"""
+
+
+_SUPPLIED_SQL = """WITH s AS (SELECT l_suppkey AS supplier, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, l_discount AS discount FROM lineitem)
+"""
+
+
+@query(
+    _SUPPLIED_SQL + _absorbed_sql() + """SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS std_error, round(estimate / se, 5) AS statistic FROM e"""
+)
+def glm_many_levels(t):
+    """A factor with a level per supplier, absorbed: its levels are fitted and reported in their own table."""
+    rows = t.lineitem.select(
+        F.col("l_suppkey").alias("supplier"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"), F.col("l_discount").alias("discount")
+    )
+    fit = glm.glm_logit(rows, "y", ["discount", "supplier"], ["supplier"], absorb="supplier")
+    digits = {"estimate": 6, "std_error": 6, "statistic": 5}
+    return fit.tidy().select("term", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
 @query(RETURNED_SQL + _BY_CLASS + "SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS std_error FROM e")
 def glm_by_class(t):
     return rounded(glm.glm_by_class(returned(t), "y", "class"))

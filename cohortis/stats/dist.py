@@ -52,6 +52,19 @@ def t_cdf(t: float, df: float) -> float:
     return 1 - half if t > 0 else half
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The value that a t statistic stays under with probability ``p`` (over one half)."""
+    lo, hi = 0.0, 2.0
+    while t_cdf(hi, df) < p:
+        lo, hi = hi, hi * 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_cdf(mid, df) < p else (lo, mid)
+        if hi - lo <= 1e-14 * hi:
+            break
+    return (lo + hi) / 2
+
+
 def f_p(f: float, df1: float, df2: float) -> float:
     """Upper tail of the F distribution."""
     return beta_cdf(df2 / (df2 + df1 * f), df2 / 2, df1 / 2)

@@ -12,12 +12,15 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dist
+from .absorbed import AbsorbedFit, fit_absorbed
+from .irls import Fit, fit_all, inv_logit
+
+# Columns a factor may have in a design; a factor of more levels is absorbed (see ``absorbed.py``).
+EXPANDED = 200
 
 TIDY = "term string, estimate double, std_error double, statistic double, p_value double"
 
@@ -51,6 +54,7 @@ class Design:
     names: list[str] = field(default_factory=list)
     exprs: list[Column] = field(default_factory=list)
     factor_of: list[str | None] = field(default_factory=list)
+    term_of: list[str] = field(default_factory=list)
 
     def exclusive(self, i: int, j: int) -> bool:
         """Whether columns ``i`` and ``j`` are different levels of one factor."""
@@ -64,58 +68,27 @@ class Design:
                 out.names.append(t)
                 out.exprs.append(F.col(t).cast("double"))
                 out.factor_of.append(None)
+                out.term_of.append(t)
                 continue
-            levels = in_order([r[0] for r in cells.select(t).distinct().collect()])
+            levels = in_order([r[0] for r in cells.where(F.col(t).isNotNull()).select(t).distinct().limit(EXPANDED + 2).collect()])
+            if len(levels) > EXPANDED + 1:
+                raise ValueError(f"{t} has more than {EXPANDED + 1} levels: only one such factor can be in a model")
             for level in levels[1:]:
                 out.names.append(f"{t}[{level}]")
                 out.exprs.append((F.col(t) == F.lit(level)).cast("double"))
                 out.factor_of.append(t)
+                out.term_of.append(t)
         return out
 
     def apply(self, cells: DataFrame, keep: list[str]) -> DataFrame:
         return cells.select(*keep, *[e.alias(f"x{j}") for j, e in enumerate(self.exprs)])
 
-    def without_aliases(self, cells: DataFrame, tol: float = 1e-10) -> tuple[Design, list[str]]:
-        """Drop columns that are linear combinations of earlier ones; returns the rest and the dropped names."""
-        p = len(self.exprs)
-        if not p:
-            return self, []
-        rows = self.apply(cells, ["w"])
-        xs = [F.col(f"x{j}") for j in range(p)]
-        w = F.col("w")
-        means = [(F.sum(w * x) / F.sum("w")).alias(f"m{j}") for j, x in enumerate(xs)]
-        centre = rows.agg(F.sum("w").alias("w"), *means).first()
-        total, mid = centre["w"] or 0.0, [centre[f"m{j}"] or 0.0 for j in range(p)]
-        dev = [x - F.lit(m) for x, m in zip(xs, mid)]
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        asked = [F.sum(w * dev[i] * dev[j]).alias(f"c{i}_{j}") for i, j in pairs if not self.exclusive(i, j)]
-        cross = rows.agg(*asked).first().asDict()
-        cross |= {f"c{i}_{j}": -total * mid[i] * mid[j] for i, j in pairs if self.exclusive(i, j)}
-        kept: list[int] = []
-        for j in range(p):
-            own = cross[f"c{j}_{j}"] or 0.0
-            left = own
-            if kept:
-                among = np.array([[cross[f"c{min(a, b)}_{max(a, b)}"] for b in kept] for a in kept])
-                towards = np.array([cross[f"c{a}_{j}"] for a in kept])
-                left = own - float(towards @ np.linalg.solve(among, towards))
-            if own > 0 and left > tol * own:
-                kept.append(j)
-        design = Design(*([column[j] for j in kept] for column in (self.names, self.exprs, self.factor_of)))
-        return design, [self.names[j] for j in range(p) if j not in kept]
-
-
-def _xlogx(c: Column) -> Column:
-    return F.when(c > 0, c * F.log(c)).otherwise(F.lit(0.0))
-
-
-def log1p_exp(eta: Column) -> Column:
-    """``log(1 + exp(eta))`` without overflow."""
-    return F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-
-
-def inv_logit(eta: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+    def columns_of(self, terms: list[str]) -> list[int]:
+        """Columns of the given terms, in the order of the terms."""
+        return [j for t in terms for j, own in enumerate(self.term_of) if own == t]
+
+    def only(self, columns: list[int]) -> Design:
+        return Design(*([values[j] for j in columns] for values in (self.names, self.exprs, self.factor_of, self.term_of)))
 
 
 def linear_predictor(coefs: list[float], exprs: list[Column]) -> Column:
@@ -131,16 +104,13 @@ class GlmFit:
     Columns that repeat earlier ones are listed with missing estimates.
     """
 
-    def __init__(self, spark, family: str, y: str, design: Design, coefs: np.ndarray, sums, converged: bool, aliased: list[str]):
-        self.aliased = aliased
-        self._spark, self.family, self.y, self.design, self.converged = spark, family, y, design, converged
-        self.terms = ["(Intercept)", *design.names]
-        self.coefs = coefs
-        p = len(coefs)
-        info = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                info[i, j] = info[j, i] = sums.get(f"i{i}_{j}", 0.0)
+    def __init__(self, spark, family: str, y: str, design: Design, fit: Fit):
+        self.aliased = [design.names[j] for j in fit.aliased]
+        self.design = design.only(fit.columns)
+        self._spark, self.family, self.y, self.converged = spark, family, y, fit.converged
+        self.terms = ["(Intercept)", *self.design.names]
+        self.coefs = fit.coefs
+        sums, p = fit.sums, len(fit.coefs)
         self.n = int(round(sums["n"]))
         self.df_residual, self.df_null = self.n - p, self.n - 1
         self.deviance, self.loglik = sums["deviance"], sums["loglik"]
@@ -150,7 +120,7 @@ class GlmFit:
         self._rss = {k: sums[k] for k in ("deviance", "working", "pearson", "response")}
         self.dispersion = sums["pearson"] / self.df_residual if family == "quasibinomial" else 1.0
         self.aic = None if family == "quasibinomial" else -2 * self.loglik + 2 * p
-        self.vcov = self.dispersion * np.linalg.pinv(info)
+        self.vcov = self.dispersion * fit.covariance
         self.std_errors = np.sqrt(np.diag(self.vcov))
 
     def tidy(self) -> DataFrame:
@@ -183,76 +153,54 @@ class GlmFit:
         return df.withColumn(name, inv_logit(linear_predictor(self.coefs.tolist(), self.design.exprs)))
 
 
-def _summaries(x: DataFrame, coefs: list[float], design: Design) -> dict[str, float]:
-    """Information matrix without its zeros, deviance, likelihood and residual sums at the estimates, in one pass."""
-    p = len(coefs)
-    xs = [F.lit(1.0), *[F.col(f"x{j}") for j in range(p - 1)]]
-    eta = linear_predictor(coefs, xs[1:])
-    y, w = F.col("y"), F.col("w")
-    mu, one_mu = inv_logit(eta), inv_logit(-eta)
-    saturated = _xlogx(y) + _xlogx(1 - y)
-    loglik = y * eta - log1p_exp(eta)
-    r = y - mu
-    rows = x.select(
-        w.alias("w"), *[c.alias(f"c{j}") for j, c in enumerate(xs)], (mu * one_mu).alias("v"), r.alias("r"),
-        saturated.alias("s"), loglik.alias("l"), y.alias("y"),
-    )
-    v, r = F.col("v"), F.col("r")
-    aggs = [
-        F.sum("w").alias("n"),
-        F.sum(w * y).alias("ysum"),
-        F.sum(w * F.col("s")).alias("saturated"),
-        F.sum(w * F.col("l")).alias("loglik"),
-        F.sum(2 * w * (F.col("s") - F.col("l"))).alias("deviance"),
-        F.sum(w * r * r).alias("response"),
-        F.sum(F.try_divide(w * r * r, v)).alias("pearson"),
-        F.sum(F.try_divide(w * r * r, v * v)).alias("working"),
-    ]
-    aggs += [
-        F.sum(w * v * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"i{i}_{j}")
-        for i in range(p)
-        for j in range(i, p)
-        if not (i and design.exclusive(i - 1, j - 1))
-    ]
-    return rows.agg(*aggs).first().asDict()
+def fit_many(
+    cells: DataFrame, y: str, models: list[tuple[list[str], str]], factors: list[str] = (), max_iter: int = 50, missing: bool = False
+) -> list[GlmFit]:
+    """Fit several (terms, family) on one cell table (``y``, all terms, ``w``), all in the same passes over it.
+
+    With ``missing`` the terms of the cells may be null, and a model uses the cells that have all of its own.
+    """
+    design = Design.of(cells, list(dict.fromkeys(t for terms, _ in models for t in terms)), factors)
+    x = design.apply(cells, ["y", "w"])
+    wanted = [design.columns_of(terms) for terms, _ in models]
+    fits = fit_all(x, len(design.names), design.exclusive, wanted, max_iter, missing)
+    return [GlmFit(cells.sparkSession, family, y, design, fit) for fit, (_, family) in zip(fits, models)]
 
 
 def fit_cells(
     cells: DataFrame, y: str, terms: list[str], factors: list[str] = (), family: str = "binomial", max_iter: int = 50
 ) -> GlmFit:
     """Fit on a cell table (``y``, terms, ``w``); persist it when fitting several models."""
-    design, aliased = Design.of(cells, terms, factors).without_aliases(cells)
-    x = design.apply(cells, ["y", "w"])
-    if design.names:
-        inputs = [f"x{j}" for j in range(len(design.names))]
-        # The solver wants one row per covariate pattern: its starting values fail on heavy all-0 and all-1 rows.
-        rates = cells.groupBy(*terms).agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
-        rates = design.apply(rates, ["w", "y"]).persist()
-        rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rates)
-        glr = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="y", weightCol="w", tol=1e-10, maxIter=max_iter
-        )
-        model = glr.fit(rows)
-        rates.unpersist()
-        coefs = np.array([model.intercept, *model.coefficients.toArray()])
-        converged = model.summary.numIterations < max_iter
-    else:
-        s = x.agg(F.sum(F.col("w") * F.col("y")).alias("k"), F.sum("w").alias("n")).first()
-        rate = s["k"] / s["n"]
-        converged = 0 < rate < 1
-        coefs = np.array([math.log(rate / (1 - rate)) if converged else math.copysign(math.inf, rate - 0.5)])
-    return GlmFit(cells.sparkSession, family, y, design, coefs, _summaries(x, coefs.tolist(), design), converged, aliased)
-
-
-def glm_logit(df: DataFrame, y: str, terms: list[str], factors: list[str] = (), family: str = "binomial") -> GlmFit:
-    """Binomial logit model of a 0/1 outcome; no terms gives the intercept-only model."""
+    return fit_many(cells, y, [(terms, family)], factors, max_iter)[0]
+
+
+def glm_logit(
+    df: DataFrame, y: str, terms: list[str], factors: list[str] = (), family: str = "binomial", absorb: str | None = None
+) -> GlmFit | AbsorbedFit:
+    """Binomial logit model of a 0/1 outcome; no terms gives the intercept-only model.
+
+    A factor of more than ``EXPANDED`` levels (counted), or the one named by ``absorb``, is absorbed: its effects are a
+    table, in which they are also fitted; see :mod:`.absorbed`.
+    """
     cells = to_cells(df, y, terms).persist()
     try:
+        wide = [absorb] if absorb else _wide_factors(cells, [t for t in terms if t in factors])
+        if wide:
+            narrow = [t for t in terms if t != wide[0]]
+            return fit_absorbed(cells, y, narrow, Design.of(cells, narrow, factors), wide[0], family)
         return fit_cells(cells, y, terms, factors, family)
     finally:
         cells.unpersist()
 
 
+def _wide_factors(cells: DataFrame, factors: list[str]) -> list[str]:
+    """Factors of more levels than a design has room for."""
+    if not factors:
+        return []
+    counts = cells.agg(*[F.count_distinct(t).alias(t) for t in factors]).first()
+    return [t for t in factors if counts[t] > EXPANDED + 1]
+
+
 def glm_quasi(df: DataFrame, y: str, terms: list[str], factors: list[str] = ()) -> GlmFit:
     """Same coefficients for outcomes in [0, 1]; standard errors scaled by the Pearson dispersion, t tests, no AIC."""
     return glm_logit(df, y, terms, factors, "quasibinomial")
@@ -287,7 +235,8 @@ def glm_by_class(df: DataFrame, y: str, factor: str) -> DataFrame:
 def step_aic(df: DataFrame, y: str, terms: list[str], factors: list[str] = ()) -> tuple[GlmFit, DataFrame]:
     """Drop terms one at a time while that lowers the AIC; returns the last model and the trace.
 
-    Every model is fitted to the rows complete in all starting terms, so the AICs compare.
+    Every model is fitted to the rows complete in all starting terms, so the AICs compare. All models of a step are
+    fitted together: the number of jobs grows with the steps, not with the terms that each could drop.
     """
     cells = to_cells(df, y, terms).persist()
     trace = []
@@ -296,7 +245,8 @@ def step_aic(df: DataFrame, y: str, terms: list[str], factors: list[str] = ()) -
         trace.append((step, "<none>", len(fit.coefs), fit.deviance, fit.aic, True))
         while kept:
             step += 1
-            tried = {t: fit_cells(cells, y, [k for k in kept if k != t], factors) for t in kept}
+            smaller = fit_many(cells, y, [([k for k in kept if k != t], "binomial") for t in kept], factors)
+            tried = dict(zip(kept, smaller))
             best = min(tried, key=lambda t: tried[t].aic)
             better = tried[best].aic < fit.aic
             trace += [

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregate import class_stats
 from ..operators.quantiles import number
+from ..session import cut
 from . import dist
+from .tails import tail_column
+
+PAIR_BLOCK = 500  # classes that meet as many others in one key of the join of pairs
 
 
 def _pearson(u: Column, v: Column) -> Column:
@@ -71,6 +75,7 @@ class LinearFit:
         self._spark, self.y, self.x, self.n = spark, y, x, n
         self.slope, self.intercept = slope, intercept
         self.df_residual = n - 2
+        self.mean_x, self.sxx = mean_x, sxx
         rss = max(syy - slope * sxy, 0.0)
         self.r_squared = 1 - rss / syy if syy else None
         self.sigma = math.sqrt(rss / self.df_residual) if self.df_residual > 0 else None
@@ -104,6 +109,13 @@ class LinearFit:
     def fitted(self) -> Column:
         return F.lit(self.intercept) + F.lit(self.slope) * F.col(self.x)
 
+    def fitted_se(self) -> Column:
+        """Standard error of the line at a row's x; NULL without residual degrees of freedom."""
+        if self.sigma is None:
+            return F.lit(None).cast("double")
+        off = F.col(self.x) - F.lit(self.mean_x)
+        return F.lit(self.sigma) * F.sqrt(F.lit(1 / self.n) + off * off / F.lit(self.sxx))
+
 
 def lms(df: DataFrame, pairs: list[tuple[str, str]]) -> list[LinearFit | None]:
     """Simple regressions of (y, x) pairs on their complete rows, all in one pass.
@@ -137,9 +149,11 @@ def lm(df: DataFrame, y: str, x: str) -> LinearFit | None:
     return lms(df, [(y, x)])[0]
 
 
-def lm_fitted(df: DataFrame, fit: LinearFit, name: str = "fitted") -> DataFrame:
-    """The trend line at every row's x."""
-    return df.withColumn(name, fit.fitted())
+def lm_fitted(df: DataFrame, fit: LinearFit, name: str = "fitted", level: float = 0.95) -> DataFrame:
+    """The trend line at every row's x, its standard error and its confidence limits (``std_error``, ``conf_low``, ``conf_high``)."""
+    reach = dist.t_quantile(0.5 + level / 2, fit.df_residual) if fit.df_residual > 0 else 0.0
+    line, se = fit.fitted(), fit.fitted_se()
+    return df.withColumns({name: line, "std_error": se, "conf_low": line - F.lit(reach) * se, "conf_high": line + F.lit(reach) * se})
 
 
 def _classes(df: DataFrame, y: str, group: str) -> DataFrame:
@@ -176,23 +190,26 @@ def tukey_hsd(df: DataFrame, y: str, group: str, level: float = 0.95) -> DataFra
     """Differences of class means with simultaneous limits and adjusted p-values, unequal sizes allowed.
 
     The result has a row per pair of classes. Without spread inside the classes only the differences are given.
+
+    The class table stays in Spark: classes are dealt to blocks by hash, a class goes to every pair of blocks that holds
+    its own, and pairs are made by an equal join on the blocks. Only the number of classes, the degrees of freedom and
+    the mean square reach the driver, which fits the tail of the studentised range once for all pairs.
     """
-    stats = _classes(df, y, group)
-    rows = stats.orderBy("class").collect()
-    _, _, ssw, df2 = _decompose(stats)
-    mse, k = (ssw / df2 if df2 else 0.0), len(rows)
-    crit = dist.tukey_quantile(level, k, df2) if mse and k > 1 else None
-    out = []
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            diff = b["mean"] - a["mean"]
-            if crit is None:
-                out.append((f"{b['class']}-{a['class']}", diff, None, None, None, None))
-                continue
-            scale = math.sqrt(mse / 2 * (1 / a["n"] + 1 / b["n"]))
-            q = abs(diff) / scale
-            p = 1 - dist.tukey_cdf(q, k, df2)
-            out.append((f"{b['class']}-{a['class']}", diff, q, diff - crit * scale, diff + crit * scale, p))
-    return df.sparkSession.createDataFrame(
-        out, "comparison string, diff double, statistic double, conf_low double, conf_high double, p_adj double"
-    )
+    stats = cut(_classes(df, y, group).select("class", "n", "mean", "sd"))
+    _, df1, ssw, df2 = _decompose(stats)
+    mse, k = (ssw / df2 if df2 else 0.0), df1 + 1
+    blocks = -(-k // PAIR_BLOCK)
+    own = F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")
+    dealt = stats.select("class", "n", "mean", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    a, b = (dealt.select(*[F.col(c).alias(f"{c}_{side}") for c in dealt.columns]) for side in "ab")
+    pairs = a.join(b, (F.col("own_a") == F.col("other_b")) & (F.col("other_a") == F.col("own_b")) & (F.col("class_a") < F.col("class_b")))
+    diff = F.col("mean_b") - F.col("mean_a")
+    named = pairs.select(F.concat(F.col("class_b").cast("string"), F.lit("-"), F.col("class_a").cast("string")).alias("comparison"), diff.alias("diff"), "n_a", "n_b")
+    if not mse or k < 2:
+        return named.select("comparison", "diff", *[F.lit(None).cast("double").alias(c) for c in ("statistic", "conf_low", "conf_high", "p_adj")])
+    crit = dist.tukey_quantile(level, k, df2)
+    scale = F.sqrt(F.lit(mse / 2) * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    rows = named.withColumn("scale", scale).withColumn("statistic", F.abs("diff") / F.col("scale"))
+    tail = tail_column(lambda q: 1 - dist.tukey_cdf(q, k, df2), F.col("statistic"), logarithm=False, least=1e-12, pieces=24)
+    reach = F.lit(crit) * F.col("scale")
+    return rows.select("comparison", "diff", "statistic", (F.col("diff") - reach).alias("conf_low"), (F.col("diff") + reach).alias("conf_high"), tail.alias("p_adj"))

@@ -298,3 +298,102 @@ def test_mixed_model_refuses_infinite_values(spark):
     df = spark.createDataFrame([(float(i % 2), math.inf if i == 3 else float(i), str(i % 3)) for i in range(30)], "y double, x double, g string")
     with pytest.raises(ValueError):
         glmm_logit(df, "y", ["x"], "g")
+
+
+def test_absorbed_factor_equals_expanded_one(spark, sample):
+    df = sample[0]
+    for family in ("binomial", "quasibinomial"):
+        wide = glm.glm_logit(df, "y", ["x", "g"], ["g"], family, absorb="g")
+        narrow = glm.glm_logit(df, "y", ["x", "g"], ["g"], family)
+        a, b = ({r.term: r for r in f.tidy().collect()} for f in (wide, narrow))
+        assert a.keys() == b.keys()
+        for term in a:
+            assert tuple(a[term])[1:] == pytest.approx(tuple(b[term])[1:], rel=1e-6, abs=1e-8)
+        ours, theirs = ([v for v in f.glance().first()[1:] if v is not None] for f in (wide, narrow))
+        assert ours == pytest.approx(theirs, rel=1e-9)
+        assert wide.rmse("working") == pytest.approx(narrow.rmse("working"))
+    p, q = (sorted(r.predicted for r in f.predict(df).collect()) for f in (wide, narrow))
+    assert p == pytest.approx(q, abs=1e-8)
+    constant = df.withColumn("of_level", F.hash("g").cast("double"))
+    fit = glm.glm_logit(constant, "y", ["x", "of_level", "g"], ["g"], absorb="g")
+    assert fit.aliased == ["of_level"] and fit.terms == ["x"]
+
+
+def test_factor_of_very_many_levels(spark):
+    """More levels than a design has room for are absorbed without being named; none of them is collected."""
+    n = 20_000
+    df = spark.range(20 * n).selectExpr(f"id % {n} AS level", "pmod(hash(id), 1000) / 1000D AS x", "pmod(xxhash64(id), 97) AS u")
+    df = df.selectExpr("level", "x", "CAST(u / 97D < 1 / (1 + exp(0.5 - x)) AS DOUBLE) AS y")
+    fit = glm.glm_logit(df, "y", ["x", "level"], ["level"])
+    assert fit.n_levels == n and fit.n == 20 * n and fit.tidy().count() == n + 1
+    # Score equations: within every level, and for x.
+    left = fit.predict(df).groupBy("level").agg(F.sum(F.expr("y - predicted")).alias("r"), F.sum(F.expr("x * (y - predicted)")).alias("rx"), F.avg("y").alias("m"))
+    worst = left.where("m > 0 AND m < 1").agg(F.max(F.abs("r"))).first()[0]
+    assert worst < 1e-5 and abs(left.agg(F.sum("rx")).first()[0]) < 1e-3
+    with pytest.raises(ValueError, match="levels"):
+        glm.glm_logit(df.withColumn("other", F.col("level") + 1), "y", ["level", "other"], ["level", "other"])
+
+
+def test_jobs_do_not_grow_with_models(spark, sample):
+    df = sample[0].withColumns({f"n{k}": F.pmod(F.hash("x", F.lit(k)), F.lit(5)).cast("double") for k in range(5)})
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(group, run):
+        spark.sparkContext.setJobGroup(group, group)
+        out = run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(tracker.getJobIdsForGroup(group))
+
+    cells = glm.to_cells(df, "y", ["x", *[f"n{k}" for k in range(5)]]).persist()
+    cells.count()
+    one, alone = jobs("one", lambda: glm.fit_many(cells, "y", [(["x", "n0"], "binomial")]))
+    terms = [["x", f"n{k}"] for k in range(5)] + [["x"], []]
+    many, together = jobs("many", lambda: glm.fit_many(cells, "y", [(t, "binomial") for t in terms]))
+    assert together <= alone + 4
+    assert many[0].coefs == pytest.approx(one[0].coefs, abs=1e-9)
+    for t, fit in zip(terms, many):
+        assert fit.coefs == pytest.approx(glm.fit_cells(cells, "y", t).coefs, abs=1e-8)
+
+
+def test_models_on_their_own_rows(spark, sample):
+    df = sample[0].withColumn("gap", F.when(F.pmod(F.hash("x", "y"), F.lit(3)) > 0, F.col("x")))
+    from cohortis.stats.compare import ModelSpec, compare_models
+
+    specs = [ModelSpec("all", ["x"]), ModelSpec("some", ["gap"])]
+    got = {r.model: r for r in compare_models(df, "y", specs, common_frame=False).collect()}
+    assert got["some"].n < got["all"].n
+    for name, terms in (("all", ["x"]), ("some", ["gap"])):
+        fit = glm.glm_logit(df, "y", terms)
+        assert (got[name].n, got[name].aic) == (fit.n, pytest.approx(fit.aic, abs=1e-8))
+
+
+def test_tails_as_columns(spark):
+    from cohortis.stats.tails import tail_column
+
+    rows = spark.createDataFrame([(v,) for v in (0.0, 1e-9, 0.3, -1.96, 4.0, 9.5, 30.0, None, float("nan"))], "z double")
+    for fn in (dist.normal_p, lambda t: dist.t_p(t, 3), lambda t: dist.t_p(t, 400)):
+        for z, p in rows.select("z", tail_column(fn, F.col("z"))).collect():
+            assert (p is None) if z is None or math.isnan(z) else p == pytest.approx(fn(z), rel=1e-8)
+    for z, p in rows.where("z >= 0").select("z", tail_column(lambda q: 1 - dist.tukey_cdf(q, 6, 40), F.col("z"), False, 1e-12, 24)).collect():
+        assert math.isnan(z) or p == pytest.approx(1 - dist.tukey_cdf(z, 6, 40), abs=1e-9)
+
+
+def test_tukey_of_many_classes(spark):
+    df = spark.range(6000).selectExpr("id % 1500 AS c", "CAST(pmod(hash(id), 1000) AS DOUBLE) AS y")
+    out = linear.tukey_hsd(df, "y", "c")
+    assert out.count() == 1500 * 1499 // 2 == out.select("comparison").distinct().count()
+    means = {r.c: (r.m, r.n) for r in df.groupBy("c").agg(F.avg("y").alias("m"), F.count("y").alias("n")).collect()}
+    for r in out.limit(50).collect():
+        b, a = map(int, r.comparison.split("-"))
+        assert r.diff == pytest.approx(means[b][0] - means[a][0]) and r.conf_low < r.diff < r.conf_high and 0 <= r.p_adj <= 1
+
+
+def test_confidence_band(spark):
+    xy = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (4.0, 4.0)], "x double, y double")
+    fit = linear.lm(xy, "y", "x")
+    rows = linear.lm_fitted(xy, fit).collect()
+    reach = 4.302652729911275  # t with 2 degrees of freedom, 97.5 %
+    for r in rows:
+        se = fit.sigma * math.sqrt(1 / 4 + (r.x - 2.5) ** 2 / 5)
+        assert (r.std_error, r.conf_low, r.conf_high) == pytest.approx((se, r.fitted - reach * se, r.fitted + reach * se))
