@@ -160,11 +160,13 @@ def anti_join(t):
 
 @query(
     """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F'
-    UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderstatus = 'O'"""
+    UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'"""
 )
 def union_fill(t):
-    a = t.orders.filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    b = t.orders.filter(F.col("o_orderstatus") == "O").select("o_totalprice", "o_orderkey")
+    """Two slices that hold all orders, the second without a column of the first."""
+    finished = F.col("o_orderstatus").eqNullSafe("F")
+    a = t.orders.filter(finished).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    b = t.orders.filter(~finished).select("o_totalprice", "o_orderkey")
     return joins.union_fill(a, b)
 
 

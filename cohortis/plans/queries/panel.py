@@ -73,13 +73,17 @@ def unpivot_families(t):
 
 
 @query(
-    """SELECT l_returnflag AS Species, round(sum(l_quantity), 6) AS Abund FROM lineitem
-    WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1 ORDER BY 2 DESC"""
+    """SELECT CASE WHEN l_returnflag IN ('A', 'N', 'R') THEN l_returnflag ELSE 'other' END AS Species, round(sum(l_quantity), 6) AS Abund FROM lineitem GROUP BY 1
+    UNION ALL SELECT 'other', 0.0 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag IS NULL OR l_returnflag NOT IN ('A', 'N', 'R'))
+    ORDER BY 2 DESC"""
 )
 def gather_columns(t):
+    """A column per flag and one for all others, so every line item counts."""
     flags = ["A", "N", "R"]
-    wide = t.lineitem.select(*[F.when(F.col("l_returnflag") == f, F.col("l_quantity")).alias(f) for f in flags])
-    return order_by_value(rounded(reshape.gather(agg.sum_columns(wide, flags), [], flags, "Species", "Abund")), "Abund", True)
+    flag, known = F.col("l_returnflag"), F.coalesce(F.col("l_returnflag").isin(flags), F.lit(False))
+    wide = t.lineitem.select(*[F.when(flag == f, F.col("l_quantity")).alias(f) for f in flags], F.when(~known, F.col("l_quantity")).alias("other"))
+    gathered = reshape.gather(agg.sum_columns(wide, [*flags, "other"]), [], [*flags, "other"], "Species", "Abund")
+    return order_by_value(rounded(gathered), "Abund", True)
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ...functions import bins, codes, season, status
 from ...operators.aggregate import freq
+from ...session import scratch
+from ...sources.tables import read_table, write_table
 from . import as_long, query, rounded
 
 _RAW = """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '1' WHEN o_orderstatus = 'O' THEN NULL
@@ -192,3 +194,29 @@ def predicted_curve(t):
     return rounded(
         bins.predict_logistic_curve(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", 4500, -0.001).drop("c_acctbal")
     )
+
+
+@query(_RAW + """SELECT o_orderkey AS id, raw AS Stat95, o_totalprice AS Hgt95, CAST(o_orderdate AS DATE) AS day FROM r JOIN orders USING (o_orderkey)""")
+def delimited_round_trip(t):
+    """Written as delimited text with missing cells as NA, read back with a schema, columns renamed."""
+    orders = t.orders.select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate")).join(_raw(t), "o_orderkey")
+    path = scratch(orders.sparkSession) + ".csv"
+    write_table(orders, path, "csv")
+    read = read_table(orders.sparkSession, path, "o_orderkey bigint, raw string, o_totalprice double, o_orderdate date")
+    return codes.rename_first(read, "id").withColumnsRenamed({"raw": "Stat95", "o_totalprice": "Hgt95", "o_orderdate": "day"})
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders""")
+def partitioned_round_trip(t):
+    """Written as Parquet in a folder per status, read back whole."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    path = scratch(orders.sparkSession)
+    write_table(orders, path, partition_by=["o_orderstatus"])
+    return read_table(orders.sparkSession, path, orders.schema)
+
+
+@query("""SELECT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
+def factor_levels(t):
+    """Whole numbers as categories."""
+    levels = status.as_factor(t.lineitem.select(F.col("l_quantity").cast("double").alias("quantity")), "quantity")
+    return levels.groupBy("quantity").agg(F.count(F.lit(1)).alias("n"))

@@ -6,9 +6,10 @@ For a group with scaled random effect b (the intercept shift is sigma * b):
     logL = sum over groups of  h(b^) - log(1 + sigma^2 W) / 2,   W = sum w mu (1 - mu)
 
 Everything per group is a grouped aggregate over the weighted cells; the modes b^
-stay in a table of (group, candidate). One evaluation answers several candidate
-parameter vectors at once and returns one row of sums per candidate, so the
-driver solves p by p systems and never sees groups or rows.
+stay in a table of their groups. Gradient and Hessian of logL are exact: the modes
+are differentiated twice through the equation that they solve, from sums of each
+group, so one pass over the cells with one parameter vector gives a whole Newton
+step. One row of sums reaches the driver, which never sees groups or rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SALTS = 32
 
 
 class _Laplace:
-    """The objective and its gradient for batches of candidates (beta..., sigma)."""
+    """The objective and its derivatives at a parameter vector (beta..., sigma)."""
 
     def __init__(self, cells: DataFrame, group: str, n_x: int):
         self.group, self.p = group, n_x + 1
@@ -75,8 +76,10 @@ class _Laplace:
         shift = "".join(f" + t{j} * x{j - 1}" for j in range(1, self.p))
         met = met.selectExpr("*", f"t0 + t{self.p} * b{shift} AS eta")
         met = met.selectExpr("*", "1 / (1 + exp(-eta)) AS mu", "1 / (1 + exp(eta)) AS nu")
-        # Sums are taken of wr, wv, wv1: weighted residual, variance, derivative of the variance.
-        return met.selectExpr("*", "w * (y - mu) AS wr", "w * mu * nu AS wv", "w * mu * nu * (nu - mu) AS wv1")
+        # Sums are taken of wr, wv, wv1, wv2: weighted residual, variance, first and second derivative of the variance.
+        return met.selectExpr(
+            "*", "w * (y - mu) AS wr", "w * mu * nu AS wv", "w * mu * nu * (nu - mu) AS wv1", "w * mu * nu * (1 - 6 * mu * nu) AS wv2"
+        )
 
     def _per_group(self, state: DataFrame):
         return self.rows(state).groupBy(self.group, "cand", "b", *[f"t{j}" for j in range(self.p + 1)])
@@ -89,39 +92,77 @@ class _Laplace:
         return sums.selectExpr(f"`{self.group}`", "cand", step, *[f"t{j}" for j in range(self.p + 1)])
 
     def sums(self, state: DataFrame) -> DataFrame:
-        """Per group and candidate: likelihood and its derivatives, given the modes."""
+        """Per group and candidate: likelihood, gradient ``g<j>`` and Hessian ``h<j>_<k>`` in (beta, sigma), given the modes.
+
+        With the modes following the parameters, eta has the derivatives x_j + c_j (beta_j) and c_p (sigma), where c is
+        constant within a group; so all second derivatives are made of sums of products of two covariates.
+        """
         p, s = self.p, f"t{self.p}"
+        at = lambda n, j, k: f"{n}{min(j, k)}_{max(j, k)}"
+        times = ["", *[f" * x{j}" for j in range(p - 1)]]
+        pairs = [(j, k) for j in range(p) for k in range(j, p)]
         aggs = [F.expr("sum(w * (y * eta - greatest(eta, 0D) - log1p(exp(-abs(eta))))) AS ll")]
-        for j in range(p):
-            x = f" * x{j - 1}" if j else ""
-            aggs += [F.expr(f"sum(wr{x}) AS A{j}"), F.expr(f"sum(wv{x}) AS B{j}"), F.expr(f"sum(wv1{x}) AS C{j}")]
-        g = self._per_group(state).agg(*aggs).selectExpr("*", f"1 + {s} * {s} * B0 AS D")
-        # Implicit derivatives of the mode, then of log D / 2.
-        slopes = [f"-{s} * B{j} / D AS d{j}" for j in range(p)] + [f"(A0 - {s} * b * B0) / D AS d{p}"]
-        g = g.selectExpr("*", *slopes)
-        out = [f"`{self.group}`", "cand", "b", "B0 AS W", "ll - b * b / 2 - ln(D) / 2 AS obj", f"abs({s} * A0 - b) AS off"]
-        out += [f"A{j} - {s} * {s} * (C{j} + {s} * d{j} * C0) / (2 * D) AS g{j}" for j in range(p)]
-        out += [f"b * A0 - (2 * {s} * B0 + {s} * {s} * C0 * (b + {s} * d{p})) / (2 * D) AS g{p}"]
-        return g.selectExpr(*out, *[f"d{j}" for j in range(p + 1)])
-
-    def evaluate(self, thetas: np.ndarray, steps: int, solved: DataFrame | None = None, at: np.ndarray | None = None):
-        """Objective and gradient per candidate, and the modes of the first one, solved to rounding error."""
-        modes = self.ready(thetas, solved, at)
+        aggs += [F.expr(f"sum(wr{times[j]}) AS A{j}") for j in range(p)]
+        for name, of in (("B", "wv"), ("C", "wv1"), ("E", "wv2")):
+            aggs += [F.expr(f"sum({of}{times[j]}{times[k]}) AS {name}{j}_{k}") for j, k in pairs]
+        g = self._per_group(state).agg(*aggs).selectExpr("*", f"1 + {s} * {s} * B0_0 AS D")
+        # First derivatives of the mode (d), of eta (c), of the residual sum (R), of W and of D (Q).
+        g = g.selectExpr("*", *[f"-{s} * B0_{j} / D AS d{j}" for j in range(p)], f"(A0 - {s} * b * B0_0) / D AS d{p}")
+        g = g.selectExpr("*", *[f"{s} * d{j} AS c{j}" for j in range(p)], f"b + {s} * d{p} AS c{p}")
+        first = [f"-(B0_{j} + c{j} * B0_0) AS R{j}" for j in range(p)] + [f"-c{p} * B0_0 AS R{p}"]
+        first += [f"C0_{j} + c{j} * C0_0 AS W{j}" for j in range(p)] + [f"c{p} * C0_0 AS W{p}"]
+        g = g.selectExpr("*", *first)
+        g = g.selectExpr("*", *[f"{s} * {s} * W{j} AS Q{j}" for j in range(p)], f"2 * {s} * B0_0 + {s} * {s} * W{p} AS Q{p}")
+
+        def product(n: str, j: int, k: int) -> str:
+            """Sum of a weight over the derivatives of eta."""
+            if k == p:
+                return f"c{p} * c{p} * {n}0_0" if j == p else f"c{p} * ({n}0_{j} + c{j} * {n}0_0)"
+            return f"{at(n, j, k)} + c{j} * {n}0_{k} + c{k} * {n}0_{j} + c{j} * c{k} * {n}0_0"
+
+        every = [(j, k) for j in range(p + 1) for k in range(j, p + 1)]
+        bend = []  # second derivatives of the mode
+        for j, k in every:
+            v = product("C", j, k)
+            own = "0D" if k < p else f"R{j} - {s} * d{j} * B0_0" if j < p else f"2 * (R{p} - {s} * d{p} * B0_0)"
+            bend.append(f"({own} - {s} * ({v})) / D AS d{j}_{k}")
+        g = g.selectExpr("*", *bend)
+        second = []
+        for j, k in every:
+            eta = f"{s} * d{j}_{k}" if k < p else f"d{j} + {s} * d{j}_{k}" if j < p else f"2 * d{p} + {s} * d{j}_{k}"
+            w = f"({product('E', j, k)} + ({eta}) * C0_0)"
+            if k < p:
+                d2, own = f"{s} * {s} * {w}", f"-({at('B', j, k)} + c{k} * B0_{j})"
+            else:
+                d2 = f"2 * {s} * W{j} + {s} * {s} * {w}" if j < p else f"2 * B0_0 + 4 * {s} * W{p} + {s} * {s} * {w}"
+                own = f"d{j} * A0 + b * R{j}"
+            second.append(f"{own} - (({d2}) / D - Q{j} * Q{k} / (D * D)) / 2 AS h{j}_{k}")
+        out = [f"`{self.group}`", "cand", "b", "B0_0 AS W", "ll - b * b / 2 - ln(D) / 2 AS obj", f"abs({s} * A0 - b) AS off"]
+        out += [f"A{j} - Q{j} / (2 * D) AS g{j}" for j in range(p)] + [f"b * A0 - Q{p} / (2 * D) AS g{p}"]
+        return g.selectExpr(*out, *second, *[f"d{j}" for j in range(p + 1)])
+
+    def evaluate(self, theta: np.ndarray, steps: int, solved: DataFrame | None = None, at: np.ndarray | None = None):
+        """Objective, gradient and Hessian at ``theta``, and the modes, solved to rounding error."""
+        d = self.p + 1
+        pairs = [(j, k) for j in range(d) for k in range(j, d)]
+        modes = self.ready(theta[None, :], solved, at)
         for _ in range(MODE_ROUNDS):
             for _ in range(steps):
                 modes = self.newton(modes)
             found = cut(self.sums(modes))
-            total = found.groupBy("cand").agg(
-                F.sum("obj").alias("obj"), F.max("off").alias("off"), *[F.sum(f"g{j}").alias(f"g{j}") for j in range(self.p + 1)]
-            )
-            got = sorted(total.collect(), key=lambda r: r["cand"])
-            first = found.filter(F.col("cand") == 0).select(self.group, "b", "W", *[f"d{j}" for j in range(self.p + 1)])
-            if max(r["off"] for r in got) < 1e-6:
-                grad = [[r[f"g{j}"] for j in range(self.p + 1)] for r in got]
-                return np.array([r["obj"] for r in got]), np.array(grad), first
-            if not all(math.isfinite(r["off"]) for r in got):
+            r = found.agg(
+                F.sum("obj").alias("obj"), F.max("off").alias("off"), *[F.sum(f"g{j}").alias(f"g{j}") for j in range(d)],
+                *[F.sum(f"h{j}_{k}").alias(f"h{j}_{k}") for j, k in pairs],
+            ).first()
+            now = found.select(self.group, "b", "W", *[f"d{j}" for j in range(d)])
+            if r["off"] < 1e-6:
+                hess = np.zeros((d, d))
+                for j, k in pairs:
+                    hess[j, k] = hess[k, j] = r[f"h{j}_{k}"]
+                return r["obj"], np.array([r[f"g{j}"] for j in range(d)]), hess, now
+            if not math.isfinite(r["off"]):
                 break
-            modes, steps = self.ready(thetas, first, thetas[0]), 2
+            modes, steps = self.ready(theta[None, :], now, theta), 2
         raise ArithmeticError("the group effects could not be solved")
 
 
@@ -142,11 +183,11 @@ def _start(lap: _Laplace) -> tuple[np.ndarray, DataFrame]:
 def _maximise(
     lap: _Laplace, point: np.ndarray, solved: DataFrame | None, max_iter: int, tol: float, fixed_zero: bool = False
 ):
-    """Newton over (beta, log sigma) with a Hessian from differenced gradients, all in one batch per iteration.
+    """Newton over (beta, log sigma), one evaluation per iteration.
 
     ``fixed_zero`` keeps sigma at 0 and moves beta only.
     """
-    d, h = lap.p + (not fixed_zero), 1e-4
+    d = lap.p + (not fixed_zero)
 
     def natural(points: np.ndarray) -> np.ndarray:
         sigma = np.zeros(len(points)) if fixed_zero else np.exp(points[:, -1])
@@ -155,24 +196,24 @@ def _maximise(
     theta = old = hess = step = None
     size, steps, converged = 1.0, 3, False
     for _ in range(max_iter):
-        batch = natural(np.vstack([point, *[point + h * e for e in np.eye(d)], *[point - h * e for e in np.eye(d)]]))
+        now = natural(point[None, :])[0]
         at = natural((point if theta is None else theta)[None, :])[0]
-        obj, grad, found = lap.evaluate(batch, steps, solved, at)
-        if not fixed_zero:
-            grad[:, -1] *= batch[:, -1]
-        grad = grad[:, :d]
-        if old is not None and not obj[0] >= old - 1e-10 * (abs(old) + 1):
+        obj, grad, bent, found = lap.evaluate(now, steps, solved, at)
+        if old is not None and not obj >= old - 1e-10 * (abs(old) + 1):
             size /= 2
             if size < 1e-6:
                 break
             point = theta + size * step
             continue
-        theta, old, size, solved = point, obj[0], 1.0, found
-        hess = (grad[1 : d + 1] - grad[d + 1 :]) / (2 * h)
-        hess = (hess + hess.T) / 2
+        theta, old, size, solved = point, obj, 1.0, found
+        if not fixed_zero:  # from sigma to its logarithm
+            bent[-1, -1] = bent[-1, -1] * now[-1] ** 2 + grad[-1] * now[-1]
+            bent[:-1, -1] = bent[-1, :-1] = bent[:-1, -1] * now[-1]
+            grad[-1] *= now[-1]
+        hess, grad = bent[:d, :d], grad[:d]
         values, vectors = np.linalg.eigh(-hess)
-        step = vectors @ ((vectors.T @ grad[0]) / np.maximum(np.abs(values), 1e-8 * max(1.0, np.abs(values).max())))
-        if float(abs(grad[0] @ step)) < tol or (not fixed_zero and theta[-1] < -6):
+        step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-8 * max(1.0, np.abs(values).max())))
+        if float(abs(grad @ step)) < tol or (not fixed_zero and theta[-1] < -6):
             converged = True
             break
         step = step / max(1.0, np.abs(step).max())

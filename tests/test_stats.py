@@ -397,3 +397,15 @@ def test_confidence_band(spark):
     for r in rows:
         se = fit.sigma * math.sqrt(1 / 4 + (r.x - 2.5) ** 2 / 5)
         assert (r.std_error, r.conf_low, r.conf_high) == pytest.approx((se, r.fitted - reach * se, r.fitted + reach * se))
+
+
+def test_glmm_derivatives_are_those_of_the_objective(sample):
+    cells = glm.to_cells(sample[0], "y", ["x", "z"], "g").selectExpr("y", "w", "g", "x AS x0", "z AS x1").persist()
+    lap, theta, h = mixed._Laplace(cells, "g", 2), np.array([0.2, 0.5, -0.1, 0.8]), 1e-4
+    _, grad, hess, _ = lap.evaluate(theta, 4)
+    for j, step in enumerate(np.eye(4) * h):
+        up, down = lap.evaluate(theta + step, 4), lap.evaluate(theta - step, 4)
+        assert grad[j] == pytest.approx((up[0] - down[0]) / (2 * h), abs=1e-5)
+        assert hess[j] == pytest.approx((up[1] - down[1]) / (2 * h), abs=1e-4)
+    lap.close()
+    cells.unpersist()
