@@ -28,11 +28,25 @@ FRAME_WORDS = frozenset(
     "promo promoted promotion related replies reply search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+REPLY_WORDS = frozenset("comment comments disqus replies reply".split())
+AROUND = frozenset("has is no with without".split())  # "no-sidebar" says what the page is like, not what the holder is
 MAIN = frozenset(("article", "main"))
+ROOTS = MAIN | {"html", "body"}
 HOLDERS = frozenset("article main section div td th body html nav header footer aside form dialog menu search figure "
                     "blockquote".split()) | SILENT
 SIGMA = 1.0  # lines
-WORD = re.compile(r"[a-z]+")
+PART = re.compile(r"[^a-z]+")
+ROOM = 2 / 3  # of a page's text: a form or marked holder with so much is the page's own
+
+
+def frame_marks(attrs: list) -> set[str]:
+    """Frame words among the whole names of a class, id or role, or at either end of a name of several parts."""
+    found: set[str] = set()
+    for name in (n for k, v in attrs if k in ("class", "id", "role") and v for n in v.lower().split()):
+        parts = [p for p in PART.split(name) if p]
+        if parts and not AROUND & set(parts):
+            found |= {parts[0], parts[-1]} & FRAME_WORDS
+    return found
 
 
 class Lines(HTMLParser):
@@ -40,17 +54,18 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []  # text, tags, holder, frame, enclosing article or 0
-        self.open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]  # tag, number, frame, article, silent
+        # Text, tags, holder, frame, enclosing article or 0, and the frames around that might be the page itself.
+        self.lines: list[tuple[str, int, int, bool, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, bool, int, bool, tuple[int, ...]]] = [("", 0, False, 0, False, ())]
         self.parts: list[str] = []
         self.tags = 0
         self.count = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        tag, number, frame, article, silent = self.open[-1]
+        tag, number, frame, article, silent, loose = self.open[-1]
         if text and not silent:
-            self.lines.append((text, self.tags, number, frame, article))
+            self.lines.append((text, self.tags, number, frame, article, loose))
         self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -58,12 +73,17 @@ class Lines(HTMLParser):
             self.end_line()
         self.tags += 1
         if tag in HOLDERS and tag not in VOID:
-            _, _, frame, article, silent = self.open[-1]
-            marks = {w for k, v in attrs if k in ("class", "id", "role") and v for w in WORD.findall(v.lower())}
+            _, _, frame, article, silent, loose = self.open[-1]
+            marks = frame_marks(attrs)
             self.count += 1
             inside = article or (self.count if tag in MAIN else 0)
-            framed = tag in FRAMES or bool(marks & FRAME_WORDS) or (tag == "header" and not inside)
-            self.open.append((tag, self.count, frame or framed, inside, silent or tag in SILENT))
+            if tag in ROOTS:  # whatever they are called, but for an article that is a comment
+                frame = frame or (tag == "article" and bool(marks & REPLY_WORDS))
+            elif (tag in FRAMES and tag != "form") or (tag == "header" and not inside) or marks & REPLY_WORDS:
+                frame = True
+            elif tag == "form" or marks:
+                loose = (*loose, self.count)
+            self.open.append((tag, self.count, frame, inside, silent or tag in SILENT, loose))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -116,9 +136,10 @@ def threshold(values: list[float]) -> float:
 def main_text(html: str | None) -> str:
     """Main text of one page: lines of the regions that hold a content line, joined by single spaces.
 
-    A line's ratio is its characters by its tags; frame lines (menus, footers, asides, forms, marked boxes) count 0.
-    Smoothed ratios at or above the border of two clusters are content. A region is an article where there is one,
-    else a line's holder; every line of a content region that is not frame is kept.
+    A line's ratio is its characters by its tags; frame lines (menus, footers, asides, forms, marked boxes) count 0. A
+    form or a marked box with ``ROOM`` of the text outside other frames, and all that is in articles, is no frame. Smoothed ratios at or above the
+    border of two clusters are content. A region is an article, unless some holder outside has over twice the text of
+    all articles, else a line's holder; every line of a content region that is not frame is kept.
     """
     if not html:
         return ""
@@ -126,14 +147,26 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.end_line()
-    lines = page.lines
+    size, told = defaultdict(int), defaultdict(int)  # characters, and those of articles, of the page (0) and of boxes
+    for text, _, _, frame, article, loose in page.lines:
+        for box in () if frame else (0, *loose):
+            size[box] += len(text)
+            told[box] += len(text) if article else 0
+    own = {box for box in size if size[box] >= ROOM * size[0] and told[box] == told[0]}
+    lines = [(t, tags, holder, frame or not own.issuperset(loose), article) for t, tags, holder, frame, article, loose in page.lines]
     if not any(not frame for _, _, _, frame, _ in lines):
         return ""
-    if any(article and not frame for _, _, _, frame, article in lines):
+    outside: dict[int, int] = defaultdict(int)
+    inside = 0
+    for text, _, holder, frame, article in lines:
+        if not frame:
+            inside += len(text) if article else 0
+            outside[0 if article else holder] += 0 if article else len(text)
+    if inside and 2 * inside >= max(outside.values()):
         region = [article or -1 for *_, article in lines]
         out_of = {-1}
     else:
-        region, out_of = [holder for _, _, holder, _, _ in lines], set()
+        region, out_of = [article or -holder for _, _, holder, _, article in lines], set()
     ratio = [0.0 if frame or r in out_of else len(t) / max(tags, 1) for (t, tags, _, frame, _), r in zip(lines, region)]
     even = smoothed(ratio)
     border = threshold(even)
@@ -143,12 +176,7 @@ def main_text(html: str | None) -> str:
             mass[r] += v
     if not mass:  # only lines beside frame: the best line's region
         mass[max(zip(ratio, region))[1]] = 1.0
-    if not out_of:
-        lines_of = region
-        kept = {r for r in lines_of if r in mass}
-    else:
-        kept = set(mass)
-    return " ".join(t for (t, _, _, frame, _), r in zip(lines, region) if r in kept and not frame)
+    return " ".join(t for (t, _, _, frame, _), r in zip(lines, region) if r in mass and not frame)
 
 
 def extract(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:

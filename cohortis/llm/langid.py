@@ -7,13 +7,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from ..session import cut
+
 # The classifier is fitted on a bounded sample of the labelled rows: about so many documents of each language.
 TRAIN_DOCS = 8_000
 KNOWN_WORDS = 40_000  # most frequent words of each language that the model keeps
@@ -72,22 +73,25 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.string()), pa.array(c, pa.int64())], ["lang", "word", "c"])
 
     words = sample.mapInArrow(count, "lang int, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
-    words = words.persist()
-    try:
-        def top(df: DataFrame, key: str, k: int, most: int) -> list:
-            return df.where(F.col("lang") == k).orderBy(F.desc("c"), key).limit(most).collect()
-
-        known = [(r["word"], k, r["c"]) for k in range(len(langs)) for r in top(words.where("c > 1"), "word", k, KNOWN_WORDS)]
-        grams = []
-        for n in range(1, LONGEST + 1):
-            padded = F.concat(F.lit("^"), F.col("word"), F.lit("$")) if n > 1 else F.col("word")
-            pieces = words.select("lang", "c", padded.alias("p")).where(F.length("p") >= n).select(
-                "lang", "c", F.explode(F.expr(f"transform(sequence(1, length(p) - {n} + 1), i -> substring(p, i, {n}))")).alias("g"))
-            counted = pieces.groupBy("lang", "g").agg(F.sum("c").alias("c")).where("c > 1").persist()
-            grams.append([(r["g"], k, r["c"]) for k in range(len(langs)) for r in top(counted, "g", k, KNOWN_GRAMS)])
-            counted.unpersist()
-    finally:
-        words.unpersist()
+    words = cut(words)
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+
+    def pieces(n: int) -> Column:
+        """All runs of ``n`` characters, with the word's ends marked but in single letters; a shorter word is one run."""
+        spelt = padded if n > 1 else F.col("word")
+        at = F.sequence(F.lit(1), F.greatest(F.length(spelt), F.lit(n)) - n + 1)
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.substring(spelt, i, F.lit(n)).alias("g")))
+
+    spelt = words.select("lang", "c", F.explode(F.concat(*[pieces(n) for n in range(1, LONGEST + 1)])).alias("x"))
+    grams = spelt.select("lang", "x.n", F.col("x.g").alias("key"), "c").where(F.length("key") == F.col("n"))
+    both = words.select("lang", F.lit(0).alias("n"), F.col("word").alias("key"), "c").union(grams)
+    counted = both.groupBy("n", "lang", "key").agg(F.sum("c").alias("c")).where("c > 1")
+    place = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("c"), "key"))
+    most = F.when(F.col("n") == 0, KNOWN_WORDS).otherwise(KNOWN_GRAMS)
+    kept: list[list] = [[] for _ in range(LONGEST + 1)]
+    for r in counted.withColumn("place", place).where((F.col("place") <= max(KNOWN_WORDS, KNOWN_GRAMS)) & (F.col("place") <= most)).collect():
+        kept[r["n"]].append((r["key"], r["lang"], r["c"]))
+    known, *grams = [sorted(rows, key=lambda r: (r[1], -r[2], r[0])) for rows in kept]
     rows, table = _log_rows(known, len(langs))
     tables, at, index = [table], len(table), []
     for g in grams:
@@ -98,6 +102,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int
     return Model(langs, rows, index, np.concatenate([t.reshape(-1, len(langs)) for t in tables]))
 
 
+def _shares(scores: np.ndarray) -> np.ndarray:
+    """Posterior share of each language by one word alone, under equal priors; rows are words."""
+    odds = np.exp(scores - scores.max(axis=1, keepdims=True)) if scores.size else scores
+    return odds / odds.sum(axis=1, keepdims=True) if scores.size else scores
+
+
 class Scorer:
     """Scores texts with a model; an unseen word is scored once and remembered for a while."""
 
@@ -107,7 +117,9 @@ class Scorer:
 
     def start(self) -> None:
         self.rows = dict(self.model.words)
-        self.table = np.concatenate([self.model.scores, np.zeros((REMEMBERED, len(self.model.langs)))])
+        none = np.zeros((REMEMBERED, len(self.model.langs)))
+        self.table = np.concatenate([self.model.scores, none])
+        self.shares = np.concatenate([_shares(self.model.scores), none])
         self.used = len(self.model.scores)
 
     def unseen(self, word: str) -> int:
@@ -121,6 +133,7 @@ class Scorer:
                 value = self.model.scores[hits].mean(axis=0)
                 break
         self.table[self.used] = value
+        self.shares[self.used] = _shares(value[None, :])[0]
         self.rows[word] = self.used
         self.used += 1
         return self.used - 1
@@ -130,6 +143,7 @@ class Scorer:
         if not words or not self.model.langs:
             return NONE, 0.0
         total = np.zeros(len(self.model.langs))
+        share = np.zeros(len(self.model.langs))
         for at in range(0, len(words), REMEMBERED // 2):
             part = words[at : at + REMEMBERED // 2]
             if self.used + len(part) > len(self.table):
@@ -137,22 +151,27 @@ class Scorer:
             get, unseen = self.rows.get, self.unseen
             rows = [r if (r := get(w)) is not None else unseen(w) for w in part]
             total += self.table[rows].sum(axis=0)
+            share += self.shares[rows].sum(axis=0)
         best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.model.langs[best], float(share[best] / len(words))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the predicted language and its posterior share (0 to 1) under equal priors.
+    """Add the predicted language and how far its words speak for it, one by one: the mean over the text's words of the
+
+    posterior share (0 to 1) that a word alone gives to that language, under equal priors. It does not grow with the
+    text: words that no language or all of them would use keep it low, however many they are.
 
     Whole texts are scored. Texts without a letter, and null ones, get ``und`` and 0; texts in which nothing is known
     get the first language and an even share. Ties go to the first language in alphabetical order. Columns named like
     the two new ones are replaced; rows stay as they are, repeated ones too; an empty table stays empty.
     """
     plain = docs.drop(lang, score)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the model's parameters
+    # Its size is bounded by the model's parameters. Plain values: workers need no installed copy of this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.scores))
 
     def run(batches: Iterator) -> Iterator:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in batches:
             found = [scorer(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(

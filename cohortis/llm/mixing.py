@@ -77,7 +77,7 @@ def mix(docs: DataFrame, budget_share: float = SHARE, levels=LEVELS, weights=WEI
     uses its documents whole as often as its target allows; in the last epoch it takes them in an order drawn from
     (seed, epoch, doc_id) for as long as the running sum of tokens fits. Rows that repeat a doc_id are drawn together.
     Null level values are a value of their own (shown as they are); null texts have no tokens and fill no budget. An
-    empty table gives none. Columns named ``epoch`` or ``n_tokens`` are replaced.
+    empty table gives none. Columns named ``epoch`` or ``n_tokens`` are replaced; all others stay, whatever their names.
 
     A leaf with most of the documents is not gathered: draws are counted by leaf and bucket, and only the bucket in
     which the target is reached is put in order.
@@ -94,8 +94,9 @@ def mix(docs: DataFrame, budget_share: float = SHARE, levels=LEVELS, weights=WEI
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("tokens")).select(*levels, "whole", "rest")
     plan = cut(plan.toDF(*keys, "whole", "rest"))
 
-    used = docs.select(*names, token_count(F.col("text")).alias("n_tokens"))
-    used = used.join(small(plan), [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(k) for c, k in zip(levels, keys)])
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(levels, keys)]
+    used = docs.select(F.struct(*names).alias("row"), "doc_id", *own, token_count(F.col("text")).alias("n_tokens"))
+    used = used.join(small(plan), keys)
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
     used = used.withColumn("draw", drawn).withColumn("bucket", F.substring("draw", 1, BUCKETS))
 
@@ -114,4 +115,4 @@ def mix(docs: DataFrame, budget_share: float = SHARE, levels=LEVELS, weights=WEI
     fits = (F.col("whole") < epochs) & (F.col("edge").isNull() | (F.col("draw") <= F.col("stop")))
     times = F.col("whole") + F.when(fits, 1).otherwise(0)
     used = used.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
-    return used.select(*names, "epoch", "n_tokens")
+    return used.select("row.*", "epoch", "n_tokens")

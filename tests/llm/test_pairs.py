@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortis.llm import decontam, fingerprints, line_dedup, neardup
 from cohortis.llm.components import components
@@ -165,8 +166,8 @@ def test_line_dedup(spark):
         kept, n = [], 0
         for line in (row.text or "").split("\n"):
             words = line.strip(" ").lower().split(" ")
-            gone = len(words) >= 3 and any(words == s or (min(len(words), len(s)) >= 8 and near_words(words, s)) for s in seen)
-            if len(words) >= 3:
+            gone = words != [""] and any(words == s or (min(len(words), len(s)) >= 3 and near_words(words, s)) for s in seen)
+            if words != [""]:
                 seen.append(words)
             n += gone
             if not gone:
@@ -196,11 +197,24 @@ def test_line_dedup_compares_words(spark):
              (japanese, japanese.replace("と", "ど"), True), (japanese, japanese.replace("とち", "どし"), False)]
     docs = []
     for k, (first, line, _) in enumerate(cases):  # two words of their own keep the cases apart
-        docs += [f"k{k} k{k} {first}\nq", f"k{k} k{k} {line}\nz"]
+        docs += [f"k{k} k{k} {first}\nq{k}", f"k{k} k{k} {line}\nz{k}"]
     got = sorted(line_dedup.without_repeated_lines(table(spark, docs)).collect())
     for k, (first, line, gone) in enumerate(cases):
         assert (got[2 * k].text, got[2 * k].n_dropped) == (docs[2 * k], 0)
-        assert (got[2 * k + 1].text, got[2 * k + 1].n_dropped) == (("z", 1) if gone else (docs[2 * k + 1], 0)), (first, line)
+        assert (got[2 * k + 1].text, got[2 * k + 1].n_dropped) == ((f"z{k}", 1) if gone else (docs[2 * k + 1], 0)), (first, line)
+
+
+def test_line_dedup_knows_a_line_by_its_words(spark):
+    """Rows that repeat a doc_id with other texts: the unrelated line at the same place stays."""
+    long = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    other = "totally different line of words here standing alone in row two"
+    rows = [(1, long), (5, long.replace("w4", "new")), (5, other), (7, other.replace("alone", "apart")), (8, "one"), (9, "ONE\r\n\ntwo words"), (10, "two\twords"), (11, "a b c"), (12, "a b d"), (13, "a b")]
+    clash = {c: F.lit(c) for c in ("drops", "row_id", "lines", "n_lines", "n_dropped", "stop", "row", "h", "first")}
+    got = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash))
+    assert got.columns == ["doc_id", "text", "drops", "row_id", "lines", "stop", "row", "h", "first", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.text, r.n_dropped, r.drops) for r in got.collect()) == [
+        (1, long, 0, "drops"), (5, "", 1, "drops"), (5, other, 0, "drops"), (7, "", 1, "drops"), (8, "one", 0, "drops"), (9, "\ntwo words", 1, "drops"),
+        (10, "", 1, "drops"), (11, "a b c", 0, "drops"), (12, "", 1, "drops"), (13, "a b", 0, "drops")]
 
 
 def test_decontamination(spark):

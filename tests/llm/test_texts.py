@@ -1,8 +1,11 @@
 """Languages, secrets, pages, mixtures, personal data and urls against plain versions, and their edge cases."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +36,34 @@ def test_language_edges(spark):
     assert langid.language_report(docs.limit(0)).collect() == []
 
 
+def test_language_score_is_low_without_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs, seed=F.col("doc_id"))
+    odd = ["敏捷的棕色狐狸跳过了懒狗 ", "Быстрая лиса прыгает через собаку ", "Η γρήγορη αλεπού πηδάει "]
+    scores = [r.score for r in langid.predict(spark.createDataFrame([(t * k,) for k in (1, 500) for t in odd], "text string"), model).collect()]
+    assert max(scores) < 0.35  # however long the text
+    (junk,) = langid.predict(spark.createDataFrame([("xq zw vvk pqj wxz qqk zzv kxw " * 500,)], "text string"), model).collect()
+    real = sorted(r.score for r in langid.predict(docs.where("lang IS NOT NULL"), model).collect())
+    assert real[0] > 0.35 and real[len(real) // 2] > 0.8 and junk.score < real[len(real) // 20]
+
+
+def test_language_from_another_folder(tmp_path):
+    """Workers that cannot import the package."""
+    code = """
+import importlib.util, sys
+sys.path.insert(0, ROOT)
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.remove(ROOT)
+print("rows", entry.queries()["op4_language_id"](spark, FOLDER).count())
+"""
+    code = code.replace("ROOT", repr(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))).replace("FOLDER", repr(FOLDER))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in out.stdout, out.stderr[-2000:]
+
+
 def test_backoff():
     model = langid.Model(["x", "y"], {}, [{"a": 0}, {"ab": 1}, {}, {}], langid.np.array([[-1.0, -2.0], [-5.0, -3.0]]))
     scorer = langid.Scorer(model)
@@ -104,6 +135,25 @@ def test_pages_keep_articles_whole(spark):
         assert html_text.main_text(r.html) == " ".join(b for b in blocks if b)
 
 
+STORY = "The river had risen in the night, and by morning the lower fields lay under water from the mill to the bridge. "
+BY_HAND = [  # pages by hand, and their main texts
+    (f'<html><body class="has-sidebar"><div><p>{STORY}</p><p>{STORY}</p></div></body></html>', f"{STORY}{STORY}"),
+    (f'<body><main class="col no-sidebar"><p>{STORY}</p></main><footer>All rights reserved</footer></body>', STORY),
+    (f'<article class="post category-social"><h1>Flood</h1><p>{STORY}</p></article>', f"Flood {STORY}"),
+    (f'<body><form action="/x"><div id="page"><p>{STORY}</p><p>{STORY}</p></div><input name="q"></form></body>', f"{STORY}{STORY}"),
+    (f'<div id="c"><p>{STORY * 3}</p></div><article>Teaser.</article>', STORY * 3),
+    (f'<nav><a href="/">Home</a> <a href="/b">News</a></nav><div><p>{STORY}</p><p>{STORY}</p></div><div class="newsletter"><p>Sign up now</p></div>', f"{STORY}{STORY}"),
+    (f'<header><h1>The Daily</h1></header><div class="text"><p>{STORY}</p></div><div class="site-footer"><p>Imprint</p></div>', STORY),
+    (f'<main><p>{STORY}</p><section class="comments"><p>{STORY * 4}</p></section></main>', STORY),
+    (f'<article><p>{STORY}</p><article class="comment"><p>I disagree.</p></article></article>', STORY),
+]
+
+
+def test_pages_by_hand():
+    for html, text in BY_HAND:
+        assert html_text.main_text(html) == " ".join(text.split()), html
+
+
 def test_budgets_share_shortages_first_among_siblings(spark):
     rows = [("web", "en", "a", 100), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("books", "en", "d", 1000), ("books", "en", "e", 0)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
@@ -125,6 +175,11 @@ def test_mixing_edges(spark):
     total = sum(len((r.text or "").split()) for r in docs.collect())
     assert 0.6 * total <= used <= 0.8 * total
     assert mixing.mix(docs.limit(0)).collect() == []
+    helpers = ("row", "rest", "whole", "stop", "edge", "draw", "bucket", "_domain", "_lang", "tokens", "target")
+    clash = mixing.mix(docs.withColumns({c: F.lit(c) for c in helpers}))
+    assert clash.columns == [*docs.columns[:5], *helpers, "epoch", "n_tokens"]
+    assert sorted(map(str, (tuple(r)[:5] for r in clash.collect()))) == sorted(map(str, (tuple(r)[:5] for r in got.collect())))
+    assert all(r["edge"] == "edge" and r["_lang"] == "_lang" for r in clash.collect())
 
 
 def luhn(digits):
