@@ -115,17 +115,19 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 # Lines of the same length that share a half are compared word by word; one word more or less by all deletions of the pair.
 LINES_SQL = r"""
-WITH l AS MATERIALIZED (SELECT doc_id, pos, line, string_split(trim(lower(line)), ' ') AS w
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
-d AS MATERIALIZED (SELECT w, len(w) AS n, min((doc_id, pos)) AS first FROM l WHERE len(w) >= 3 GROUP BY w),
+WITH t AS (SELECT doc_id, text, regexp_replace(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])',
+    ' \1 ', 'g'), '[ \t\r\f]+', ' ', 'g') AS norm FROM documents),
+l AS MATERIALIZED (SELECT doc_id, pos, line, string_split(trim(words, ' '), ' ') AS w FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(string_split(norm, chr(10))) AS words, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t)),
+d AS MATERIALIZED (SELECT w, len(w) AS n, min((doc_id, pos)) AS first FROM l WHERE w <> [''] GROUP BY w),
 near AS (
-  SELECT a.first FROM d a JOIN d b ON a.n = b.n AND a.w[:a.n // 2] = b.w[:b.n // 2] AND a.n >= 8 AND b.first < a.first
+  SELECT a.first FROM d a JOIN d b ON a.n = b.n AND a.w[:a.n // 2] = b.w[:b.n // 2] AND a.n >= 3 AND b.first < a.first
     AND len(list_filter(range(1, a.n + 1), lambda i: a.w[i] <> b.w[i])) = 1
-  UNION SELECT a.first FROM d a JOIN d b ON a.n = b.n AND a.w[a.n // 2 + 1:] = b.w[b.n // 2 + 1:] AND a.n >= 8 AND b.first < a.first
+  UNION SELECT a.first FROM d a JOIN d b ON a.n = b.n AND a.w[a.n // 2 + 1:] = b.w[b.n // 2 + 1:] AND a.n >= 3 AND b.first < a.first
     AND len(list_filter(range(1, a.n + 1), lambda i: a.w[i] <> b.w[i])) = 1
-  UNION SELECT greatest(a.first, b.first) FROM d a JOIN d b ON a.n = b.n + 1 AND a.w[:b.n // 2] = b.w[:b.n // 2] AND b.n >= 8
+  UNION SELECT greatest(a.first, b.first) FROM d a JOIN d b ON a.n = b.n + 1 AND a.w[:b.n // 2] = b.w[:b.n // 2] AND b.n >= 3
     AND len(list_filter(range(1, a.n + 1), lambda i: a.w[:i - 1] || a.w[i + 1:] = b.w)) > 0
-  UNION SELECT greatest(a.first, b.first) FROM d a JOIN d b ON a.n = b.n + 1 AND a.w[b.n // 2 + 2:] = b.w[b.n // 2 + 1:] AND b.n >= 8
+  UNION SELECT greatest(a.first, b.first) FROM d a JOIN d b ON a.n = b.n + 1 AND a.w[b.n // 2 + 2:] = b.w[b.n // 2 + 1:] AND b.n >= 3
     AND len(list_filter(range(1, a.n + 1), lambda i: a.w[:i - 1] || a.w[i + 1:] = b.w)) > 0),
 m AS (SELECT l.doc_id, l.pos, l.line, d.first IS NOT NULL AND (d.first <> (l.doc_id, l.pos) OR d.first IN (SELECT first FROM near)) AS gone
   FROM l LEFT JOIN d ON d.w = l.w)
