@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortis.llm import decontam, langid, line_dedup, mixing, neardup
 from cohortis.session import cut
 
-LEAST_SCORE = 0.5  # share of the best language below which a document has no recognisable language
+LEAST_SCORE = 0.35  # mean share that a word gives to the best language; below, a document has no recognisable language
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
