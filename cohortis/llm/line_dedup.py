@@ -99,11 +99,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     earliest = keys.groupBy("key").agg(
         *[F.min(F.when(F.col("role") == r, F.col("first"))).alias(f"m{r}") for r in range(3)], F.count("*").alias("c")).where("c > 1")
     met = split_join(keys, earliest, ["key"], "inner").selectExpr("first", "CASE role WHEN 0 THEN m0 WHEN 1 THEN m2 ELSE m1 END AS earlier")
-    met = met.where(f"earlier - pmod(earlier, {TIES}) < first - pmod(first, {TIES})").distinct()
+    met = cut(met.where(f"earlier - pmod(earlier, {TIES}) < first - pmod(first, {TIES})").distinct())
+    release(docs.sparkSession)
 
     # Verify on the words: equal up to the first difference, and after it.
-    a = apart.select("first", F.col("words").alias("a"))
-    b = apart.select(F.col("first").alias("earlier"), F.col("words").alias("b"))
+    asked = met.select("first").union(met.select("earlier")).distinct()
+    spelt = apart.select("first", "words").join(small(asked), "first", "left_semi")
+    a = spelt.select("first", F.col("words").alias("a"))
+    b = spelt.select(F.col("first").alias("earlier"), F.col("words").alias("b"))
     both = met.join(a, "first").join(b, "earlier")
     both = both.withColumn("at", F.expr("coalesce(array_position(zip_with(a, b, (x, y) -> x <=> y), false), greatest(size(a), size(b)) + 1)"))
     rest = "slice({0}, least(at + {1}, size({0}) + 1), size({0}))"
