@@ -6,9 +6,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -34,15 +36,32 @@ class Model:
     scores: np.ndarray  # log frequencies, a row per word or n-gram, a column per language
 
 
-def _log_rows(counts: list[tuple[str, int, int]], n: int) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies from ``(key, language, count)``."""
-    row: dict[str, int] = {}
-    for key, _, _ in counts:
-        row.setdefault(key, len(row))
-    table = np.full((len(row), n), 0.5)
-    for key, lang, c in counts:
-        table[row[key], lang] += c
-    return row, np.log(table / (table.sum(axis=0) + 0.5)) if row else table  # half a count for all that is not kept
+class Fitted(Model):
+    """A model as it comes from the counts, which stay columns; it is spelt out where it is first asked for.
+
+    ``counts`` has ``(n, key, lang, c)``: characters of an n-gram (0: a word), language by number, occurrences.
+    """
+
+    def __init__(self, langs: list[str], counts: pa.Table) -> None:
+        self.langs, self.counts = langs, counts
+
+    @cached_property
+    def _spelt(self) -> tuple[list[dict[str, int]], np.ndarray]:
+        """Rows by key of words and of n-grams by length, and the smoothed log frequencies of all rows."""
+        index, tables, at = [], [], 0
+        for n in range(LONGEST + 1):
+            part = self.counts.filter(pc.equal(self.counts["n"], n))
+            keys = part["key"].combine_chunks().dictionary_encode()
+            table = np.full((len(keys.dictionary), len(self.langs)), 0.5)  # half a count for all that is not kept
+            np.add.at(table, (keys.indices.to_numpy(), part["lang"].to_numpy()), part["c"].to_numpy())
+            tables.append(np.log(table / (table.sum(axis=0) + 0.5)))
+            index.append(dict(zip(keys.dictionary.to_pylist(), range(at, at + len(table)))))
+            at += len(table)
+        return index, np.concatenate(tables)
+
+    words = property(lambda self: self._spelt[0][0])
+    grams = property(lambda self: self._spelt[0][1:])
+    scores = property(lambda self: self._spelt[1])
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS, seed: Column | None = None) -> Model:
@@ -50,7 +69,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int
 
     ``per_lang`` bounds the sample: a language with more documents is thinned by a hash of ``seed`` (default: the text)
     to about so many. Words and n-grams of the sample are counted in Spark; the most frequent of each language
-    (``KNOWN_WORDS``, ``KNOWN_GRAMS``) come to the driver. No labelled row gives a model without languages.
+    (``KNOWN_WORDS``, ``KNOWN_GRAMS``) come to the driver, as columns. No labelled row gives a model without languages.
     """
     seed = F.col(text) if seed is None else seed
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
@@ -88,18 +107,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int
     counted = both.groupBy("n", "lang", "key").agg(F.sum("c").alias("c")).where("c > 1")
     place = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("c"), "key"))
     most = F.when(F.col("n") == 0, KNOWN_WORDS).otherwise(KNOWN_GRAMS)
-    kept: list[list] = [[] for _ in range(LONGEST + 1)]
-    for r in counted.withColumn("place", place).where((F.col("place") <= max(KNOWN_WORDS, KNOWN_GRAMS)) & (F.col("place") <= most)).collect():
-        kept[r["n"]].append((r["key"], r["lang"], r["c"]))
-    known, *grams = [sorted(rows, key=lambda r: (r[1], -r[2], r[0])) for rows in kept]
-    rows, table = _log_rows(known, len(langs))
-    tables, at, index = [table], len(table), []
-    for g in grams:
-        row, scores = _log_rows(g, len(langs))
-        index.append({k: v + at for k, v in row.items()})
-        tables.append(scores)
-        at += len(scores)
-    return Model(langs, rows, index, np.concatenate([t.reshape(-1, len(langs)) for t in tables]))
+    counted = counted.withColumn("place", place).where((F.col("place") <= max(KNOWN_WORDS, KNOWN_GRAMS)) & (F.col("place") <= most))
+    counts = counted.select("n", "key", "lang", "c").toArrow()
+    return Fitted(langs, counts.sort_by([("n", "ascending"), ("lang", "ascending"), ("c", "descending"), ("key", "ascending")]))
 
 
 def _shares(scores: np.ndarray) -> np.ndarray:
@@ -168,10 +178,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
     """
     plain = docs.drop(lang, score)
     # Its size is bounded by the model's parameters. Plain values: workers need no installed copy of this package.
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.scores))
+    fitted = isinstance(model, Fitted)
+    plain_model = (model.langs, model.counts) if fitted else (model.langs, model.words, model.grams, model.scores)
+    shared = docs.sparkSession.sparkContext.broadcast((plain_model, {}))
 
     def run(batches: Iterator) -> Iterator:
-        scorer = Scorer(Model(*shared.value))
+        values, held = shared.value
+        if not held:  # a worker spells the model out once, not in each task
+            held["model"] = Fitted(*values) if fitted else Model(*values)
+        scorer = Scorer(held["model"])
         for batch in batches:
             found = [scorer(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import split_join
-from ..session import cut, release, stored
+from ..session import cut, shuffles_removed, stored
 from .shared import pinned, small
 
 NEAR_WORDS = 3  # lines from so many words on are also compared with one edit; shorter ones must be equal
@@ -73,13 +73,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     needs = {"replaced": "longer = 0 AND s > 1", "shortened": "longer = 1 AND s > 0", "whole": "longer = 0 AND l > 0"}
     chosen = split_join(halves, small(common), ["half"], "inner").groupBy("first").agg(*[F.expr(f"bool_or({v})").alias(k) for k, v in needs.items()])
     chosen = cut(chosen.where("replaced OR shortened OR whole"))
-    release(docs.sparkSession)
     home = F.floor(F.col("first") / F.lit(PLACES * TIES).cast("decimal(20,0)")).cast("long").alias("doc_id")
     texts = docs.join(small(chosen.select(home).distinct()), "doc_id", "left_semi")
     ranked = _lines(texts).where(F.col("n") >= NEAR_WORDS).withColumn("h", F.xxhash64("norm"))
     ranked = ranked.select(first.alias("first"), F.split("norm", " ").alias("words"), "n")
     apart = cut(ranked.join(small(chosen), "first").dropDuplicates(["first"]).select("first", "words", "n", *needs))
-    release(docs.sparkSession)
 
     # The words one deletion leaves, as a sum without carry over (place, word): the words before the gap keep their
     # place, those after it move up by one. One running total over the line gives all its variants.
@@ -100,7 +98,6 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         *[F.min(F.when(F.col("role") == r, F.col("first"))).alias(f"m{r}") for r in range(3)], F.count("*").alias("c")).where("c > 1")
     met = split_join(keys, earliest, ["key"], "inner").selectExpr("first", "CASE role WHEN 0 THEN m0 WHEN 1 THEN m2 ELSE m1 END AS earlier")
     met = cut(met.where(f"earlier - pmod(earlier, {TIES}) < first - pmod(first, {TIES})").distinct())
-    release(docs.sparkSession)
 
     # Verify on the words: equal up to the first difference, and after it.
     asked = met.select("first").union(met.select("earlier")).distinct()
@@ -114,7 +111,6 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         f"CASE size(a) - size(b) WHEN 0 THEN {rest.format('a', 1)} = {rest.format('b', 1)} "
         f"WHEN 1 THEN {rest.format('a', 1)} = {rest.format('b', 0)} WHEN -1 THEN {rest.format('a', 0)} = {rest.format('b', 1)} ELSE false END"))
     late = cut(same.select("first").distinct().withColumn("late", F.lit(True)))
-    release(docs.sparkSession)
 
     judged = distinct.select("h", "g", "first", "c").join(late, "first", "left").where("c > 1 OR late")
     judged = judged.select("h", "g", "first", F.coalesce("late", F.lit(False)).alias("late"))
@@ -141,7 +137,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select("doc_id", "text", F.struct(*others).alias("row"))
     known = docs.where("doc_id is not null").withColumn("row_id", F.xxhash64("text"))
-    drops = dropped_lines(known.select("doc_id", "row_id", "text"))
+    with shuffles_removed(docs.sparkSession):
+        drops = dropped_lines(known.select("doc_id", "row_id", "text"))
     rows = known.join(drops, ["doc_id", "row_id"], "left").drop("row_id")
     rows = rows.unionByName(docs.where("doc_id is null").withColumn("drops", F.lit(None).cast("array<int>")))
     lines = pinned(rows, lines=F.split("text", "\n"))

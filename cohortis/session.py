@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 from tempfile import mkdtemp
 from uuid import uuid4
 
@@ -75,10 +76,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now.
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within leave no shuffle files: Spark removes them as each ends.
 
-    It does so when the driver's collector finds that nothing refers to them, which may be half an hour later.
+    Else they stay until the driver's collector finds that nothing refers to them, which may be half an hour later; to
+    ask for full collections instead makes the driver's heap grow, as the time they take counts against it.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

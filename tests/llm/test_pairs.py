@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -217,6 +218,26 @@ def test_line_dedup_knows_a_line_by_its_words(spark):
         (10, "", 1, "drops"), (11, "a b c", 0, "drops"), (12, "", 1, "drops"), (13, "a b", 0, "drops")]
 
 
+def test_line_dedup_leaves_no_shuffles_and_asks_for_no_collection(spark):
+    jvm, sc = spark._jvm, spark.sparkContext
+    old = [b for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName()]
+
+    def state():
+        files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}, sum(b.getCollectionCount() for b in old)
+
+    docs = spark.createDataFrame([(i, f"one line of its own {i}\na line that all have\nand one that\nword {i} is other in") for i in range(20)], "doc_id long, text string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files, full = state()
+    line_dedup.without_repeated_lines(docs)
+    for _ in range(50):  # removal is asked for, not waited for
+        if state()[0] <= files:
+            break
+        time.sleep(0.1)
+    assert state()[0] <= files and state()[1] == full
+    assert spark.conf.get(key) == sc.getConf().get(key, "false")
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     word = lambda: f"t{r.randrange(400)}"

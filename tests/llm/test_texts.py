@@ -36,6 +36,20 @@ def test_language_edges(spark):
     assert langid.language_report(docs.limit(0)).collect() == []
 
 
+def test_language_model_stays_columns_on_the_driver(spark):
+    import tracemalloc
+
+    spelt = F.expr("transform(sequence(1, 30000), i -> concat(lang, translate(string(i), '0123456789', 'abcdefghij')))")
+    docs = spark.createDataFrame([("en",), ("de",), ("fr",)], "lang string").withColumn("text", F.array_join(spelt, " "))
+    docs = docs.union(docs)  # a word counts from two on
+    tracemalloc.start()
+    judged = langid.predict(docs, langid.train(docs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r.lang, r.lang_pred) for r in judged.select("lang", "lang_pred").collect()} == {(x, x) for x in ("en", "de", "fr")}
+    assert peak < 10e6, peak  # 90,000 words and 20,000 n-grams of each length and language
+
+
 def test_language_score_is_low_without_a_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs, seed=F.col("doc_id"))
