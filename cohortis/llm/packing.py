@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +20,13 @@ from .shared import small
 
 CAPACITY = 2048  # tokens in a sequence
 END = (0).to_bytes(4, "little")  # the id that closes a document
-CACHED = 800_000  # runs of characters whose ids a worker remembers
-GROUP = 1 << 20  # characters split at once; bounds the memory of one step, not the length of a text
-TOGETHER = 5_000  # new runs encoded at once
+CACHED = 1_200_000  # words and other runs whose ids a worker remembers
+LONG = 100  # characters of a run beyond which it is not remembered
+GROUP = 1 << 22  # bytes of text split at once; bounds the memory of one step, not the length of a text
+TOGETHER, JOINED = 5_000, 1 << 20  # new runs encoded at once, and their characters
 BETWEEN = "\x01"
-STOPS = ".,;:!?"
-BEYOND = "\u0250"  # the Latin letters lie before it
+LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"  # Latin ones that are composed and have one letter in lower case
+STOPS = "!-/:-@\\[-`{-~"  # a class of a regular expression: neither letters nor digits
 PROBES = ("a", "the", "sequence", "qzxjv", "été", "straße", "über", "łódź")  # words on which an encoder tries whether words and stops can be told apart
 WIDTH = 6  # fillings tried at a node
 STEPS = 4_000  # partial fillings looked at per node
@@ -38,9 +40,10 @@ class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     No token of the vocabularies that this is made for reaches over white space, so the ids of a text are those of its
-    runs between blanks, tabs and line feeds. Runs come back in every text; their ids are remembered. New ones are
-    encoded many together, with a control character between them, or, if they are a Latin word and stops, from the
-    word in lower case and the stops (where the vocabulary does not tell capitals apart and is over bytes).
+    runs between blanks, tabs and line feeds. The distinct runs of many texts are taken together. Latin words, with or
+    without stops behind them, are the ids of the word in lower case and those of the stops (where the vocabulary does
+    not tell capitals apart and is over bytes); words come back in every text, their ids are remembered. Other
+    runs are encoded as they are, many together with a control character between them, and remembered too.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -53,11 +56,11 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, the others follow
         self.bytes = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
-        self.lower = False
-        self.whole_words(list(PROBES))
-        self.lower = all(
-            self.encoded(w.title() + s).tobytes() == self.words[w] + self.encoded(s).tobytes() for w in PROBES for s in ("", ".", "?!")
-        )
+        self.lower = not any(re.fullmatch(f"{LETTERS}*[{STOPS}]*", t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        if self.lower:
+            self.whole_words(list(PROBES))
+            stops = ["", "?!", *re.findall(f"[{STOPS}]", "".join(map(chr, range(128))))]
+            self.lower = all(self.encoded(w.title() + s).tobytes() == self.words[w] + self.encoded(s).tobytes() for w in PROBES for s in stops)
         self.words.clear()
 
     def encoded(self, text: str) -> np.ndarray:
@@ -65,13 +68,19 @@ class Encoder:
 
     def whole_words(self, words: list[str]) -> None:
         """Learn lower-cased words: the vocabulary's normaliser and splitter leave them as they are."""
+        tokens = self.tokenizer.model.tokenize
         for w in words:
             spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes)
-            self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelt)])
+            self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in tokens(spelt)])
 
     def others(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), TOGETHER):
-            some = [r for r in runs[at : at + TOGETHER] if BETWEEN not in r]
+        """Learn runs as they are."""
+        at = 0
+        while at < len(runs):
+            past, size = at + 1, len(runs[at])
+            while past < min(len(runs), at + TOGETHER) and (size := size + len(runs[past])) <= JOINED:
+                past += 1
+            some = [r for r in runs[at:past] if BETWEEN not in r]
             if self.mark is not None and some:
                 ids = self.encoded(f" {BETWEEN} ".join(some))
                 ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
@@ -80,55 +89,70 @@ class Encoder:
                     for r, end in zip(some, ends):
                         self.known[r] = raw[last + 4 : 4 * end]
                         last = 4 * end
-            for r in runs[at : at + TOGETHER]:
+            for r in runs[at:past]:
                 if r not in self.known:
                     self.known[r] = self.encoded(r).tobytes()
-
-    def learn(self, runs: set[str]) -> None:
-        plain: list[tuple[str, str, str]] = []
-        rest: list[str] = []
-        for r in runs:
-            word = r.rstrip(STOPS)
-            if self.lower and word.isalpha() and (word.isascii() or max(word) < BEYOND and is_normalized("NFC", word) and len(word.lower()) == len(word)):
-                plain.append((r, word.lower(), r[len(word) :]))
-            else:
-                rest.append(r)
-        stops = {s for _, _, s in plain if s not in self.known}
-        self.others([*rest, *stops])
-        self.whole_words(list({w for _, w, _ in plain if w not in self.words}))
-        known, words = self.known, self.words
-        known.update([(r, words[w] + known[s]) for r, w, s in plain])
+            at = past
+
+    def looked_up(self, strings: pa.Array, memory: dict[str, bytes], learn: Callable[[list[str]], None]) -> pa.Array:
+        """The ids of each string, from ``memory`` where it has them; null where the string is null."""
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(memory.get, distinct))
+        missing = [k for k, found in enumerate(ids) if found is None]
+        learn([distinct[k] for k in missing])
+        for k in missing:
+            s = distinct[k]
+            ids[k] = memory[s] if len(s) <= LONG else memory.pop(s)
+        return pa.array(ids, pa.large_binary()).take(coded.indices)
 
     def group(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts that together are about ``GROUP`` characters."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED:
+        """The ids of texts that together are about ``GROUP`` bytes."""
+        if len(self.known) + len(self.words) > CACHED:
             self.known.clear()
             self.words.clear()
-        known = self.known
-        self.learn(set().union(*split).difference(known))
-        return [b"".join([known[r] for r in runs]) for runs in split]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        runs = coded.dictionary
+        if self.lower:
+            parts = pc.extract_regex(runs, f"^(?P<word>{LETTERS}+)(?P<stops>[{STOPS}]*)$")
+            whole = parts.is_null()
+            words, stops = (pc.if_else(whole, None, parts.field(k)) for k in range(2))
+            ids = pc.binary_join_element_wise(
+                self.looked_up(pc.utf8_lower(words), self.words, self.whole_words),
+                self.looked_up(stops, self.known, self.others),
+                pa.scalar(b"", pa.large_binary()),
+            )
+            ids = pc.coalesce(ids, self.looked_up(pc.if_else(whole, runs, None), self.known, self.others))
+        else:
+            ids = self.looked_up(runs, self.known, self.others)
+        ids = ids.take(coded.indices)
+        _, offsets, raw = ids.buffers()
+        past = np.frombuffer(offsets, dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        held = memoryview(raw or b"")
+        return [bytes(held[i:j]) for i, j in zip(past, past[1:])]
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         held: list[str] = []
         size = 0
         for text in texts:
             text = text or ""
-            if held and size + len(text) > GROUP:
+            width = len(text.encode())
+            if held and size + width > GROUP:
                 yield from self.group(held)
                 held, size = [], 0
-            if len(text) > GROUP:
+            if width > GROUP:
                 yield b"".join(self.group([slice_])[0] for slice_ in self.slices(text))
                 continue
             held.append(text)
-            size += len(text)
+            size += width
         yield from self.group(held)
 
     def slices(self, text: str) -> Iterator[str]:
         """A long text cut before blanks and line feeds."""
         at = 0
         while at < len(text):
-            ends = [e for e in (text.find(c, at + GROUP) for c in " \n\t") if e >= 0]
+            ends = [e for e in (text.find(c, at + GROUP // 4) for c in " \n\t") if e >= 0]
             end = min(ends, default=len(text))
             yield text[at:end]
             at = end

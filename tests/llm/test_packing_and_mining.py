@@ -60,6 +60,38 @@ def test_piece_edges(spark):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in ids)
 
 
+def test_encoder_learns_a_word_once_in_all_its_forms(monkeypatch):
+    learnt, given = [], []
+    words, others = p.Encoder.whole_words, p.Encoder.others
+    monkeypatch.setattr(p.Encoder, "whole_words", lambda self, w: (learnt.extend(w), words(self, w))[1])
+    monkeypatch.setattr(p.Encoder, "others", lambda self, r: (given.extend(r), others(self, r))[1])
+    encode = p.Encoder(VOCABULARY)
+    learnt.clear(), given.clear()
+    texts = ["Été été. été&&& ÉTÉ*** word word-word WORD!? word$$$ it's", "Word) été\n\tword'"]
+    got = [*encode(texts), *encode(texts[::-1])]
+    assert sorted(learnt) == ["word", "été"]
+    assert sorted(given) == sorted(["", ".", "&&&", "***", "!?", "$$$", ")", "'", "word-word", "it's"])
+    whole = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert got == whole + whole[::-1]
+
+
+def test_encoder_in_small_steps(monkeypatch):
+    """Any characters, with texts over the step, memories that are cleared and runs that are not remembered."""
+    rng = random.Random(4)
+    latin = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    odd = [*map(chr, range(128)), "\x85", "\xa0", "　", "\u0301", "Σ", "ς", "ﬁ", "漢", "ไ", "😀", "\u212a", "<|endoftext|>", "'s", "'RE", "’"]
+    texts = ["".join(rng.choices([*latin, *odd, *" " * 100], k=n)) for n in (1, 10, 200, 201, 450, 2000) for _ in range(20)]
+    texts += [f"A{c}b! {c}{s}" for c in latin for s in ("", ".", "'s", "&&&", "\u0301")] + ["", " ", "\n"]
+    encode = p.Encoder(VOCABULARY)
+    whole = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(encode([*texts, None])) == [*whole, b""] and list(encode([])) == []
+    for name, value in {"GROUP": 200, "TOGETHER": 7, "JOINED": 30, "CACHED": 50, "LONG": 10}.items():
+        monkeypatch.setattr(p, name, value)
+    assert list(encode(texts)) == whole and max(map(len, encode.words)) <= 10
+    encode.lower = False
+    assert list(encode(texts)) == whole
+
+
 def test_pack_any_columns(spark):
     parts = spark.createDataFrame([(n % 7 + 1, f"r{n}") for n in range(200)], "length int, rank string").withColumns({c: F.lit(c) for c in ("own", "n", "row", "sequence_id", "first")})
     got = p.pack(parts, 10).collect()
